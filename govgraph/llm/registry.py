@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, mixing, near_dup, quality
 
 _QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_quality": quality.op9_quality,
 }
