@@ -140,13 +140,15 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each 0, 1 or 2 times: its share of words taken, rounded by a hash of its id without bias."""
-    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()))
-    sizes = document_sizes(rows.withColumn("doc_id", F.struct("doc_id", "__row")))
+    """The documents of the mix, each 0, 1 or 2 times: its share of words taken, rounded by a hash of its id without bias.
+
+    Rows equal in doc_id and text share what they take.
+    """
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    sizes = document_sizes(marked.select(F.struct("doc_id", F.col("__mark").alias("mark")).alias("doc_id"), "source", "text"))
     taken, _ = plan_mix(stash(sizes))
-    unit = F.pmod(F.xxhash64(F.col("doc_id.doc_id"), F.lit(SEED)), F.lit(1 << 20)) / F.lit(1 << 20)
-    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + unit).cast("int")
-    chosen = taken.filter("size > 0").select(F.col("doc_id.__row").alias("__at"), times.alias("times")).filter("times > 0")
-    mixed = rows.join(chosen, F.col("__row") == F.col("__at"))
-    mixed = mixed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return mixed.select(*docs.columns)
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / F.lit(1 << 20)
+    mean = taken.filter("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("mean"))
+    chosen = mean.select(F.col("doc_id.doc_id").alias("__d"), F.col("doc_id.mark").alias("__m"), F.floor(F.col("mean") + unit).cast("int").alias("__times")).filter("__times > 0")
+    mixed = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")))
+    return mixed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -67,15 +67,15 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in K.blocks(batch.column("text")):
-                ids = batch.column("doc_id").slice(b.first, b.rows)
+                ids = [batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "mark")]
                 n, digests, sketches = [], [], []
                 for found in shingle_sets(b, words):
                     n.append(len(found))
                     digests.append(hashlib.md5(found).digest())
                     sketches.append(sketch(found).tobytes())
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "sketch"])
+                yield pa.record_batch([*ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -177,18 +177,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
-
+    """One row a document: doc_id, mark (xxhash64 of the text), n_shingles, component_id (smallest doc_id
+    reachable), kept (doc_id = component_id), stays (true in one document of each component, equal rows alike).
     """
     rows = stash(_sketches(docs, words))
-    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("sketch").alias("sketch"))
+    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("label"), F.first("sketch").alias("sketch"))
     classes = stash(least.withColumn("cid", F.monotonically_increasing_id()))
     pairs = stash(_alike(_candidates(classes), classes, percent))
 
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = classes.join(ends, "cid").select("cid", "digest", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted.select(F.col("label").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.join(wanted.select(F.col("label.doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts, words).join(wanted.select("digest", "cid"), "digest").dropDuplicates(["cid"])
     sets = stash(sets.select("cid", "members"))
 
@@ -204,15 +204,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         roots = stash(components(links))
 
     named = classes.select("cid", "digest", "label").join(roots.withColumnRenamed("node", "cid"), "cid")
-    smallest = named.groupBy("root").agg(F.min("label").alias("component_id"))
-    linked = named.join(smallest, "root").select("digest", "component_id")
+    smallest = named.groupBy("root").agg(F.min("label").alias("smallest"))
+    linked = named.join(smallest, "root").select("digest", "smallest")
     alone = classes.select("digest", "label")
-    of_class = alone.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "label").alias("component_id"))
-    result = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    result = result.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_class = alone.join(linked, "digest", "left").select("digest", F.coalesce("smallest", "label").alias("smallest"))
+    own = F.struct("doc_id", "mark")
+    result = rows.join(of_class, "digest", "left").withColumn("smallest", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(own))
+    component = F.col("smallest.doc_id")
+    return result.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), own.eqNullSafe(F.col("smallest")).alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each component; documents without words all stay, and equal rows are one."""
+    stays = near_duplicates(docs, words, percent).filter("stays").select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"))
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    met = marked.join(stays.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Every document with its set's size, its component and whether it is the one that stays; 2-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, near_dup, quality
+from ..session import query
+from . import bpe, line_dedup, mixing, near_dup, quality
 
 _QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_quality": quality.op9_quality,
 }
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {name: query(run) for name, run in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
