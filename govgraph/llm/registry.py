@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..session import query
-from . import bpe, line_dedup, mixing, near_dup, quality
+from . import bpe, line_dedup, mixing, near_dup, quality, suffix_dedup
 
 _QUERIES = {
+    "op2_suffix_array": suffix_dedup.op2_suffix_array,
     "op3_mixing": mixing.op3_mixing,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op5_line_dedup": line_dedup.op5_line_dedup,
