@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from ..session import query
-from . import bpe, line_dedup, mixing, near_dup, quality, suffix_dedup
+from . import bpe, chunk_dedup, language, line_dedup, mixing, near_dup, quality, suffix_dedup, token_counts, top_k
 
 _QUERIES = {
+    "op1_chunk_dedup": chunk_dedup.op1_chunk_dedup,
     "op2_suffix_array": suffix_dedup.op2_suffix_array,
     "op3_mixing": mixing.op3_mixing,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_language": language.op6_language,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_quality": quality.op9_quality,
+    "op10_top_k": top_k.op10_top_k,
 }
 
 
