@@ -9,22 +9,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import KEY
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read back; a temporary folder only where it is unset (tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='govgraph-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/govgraph-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/govgraph-{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def edges(triples: DataFrame) -> DataFrame:
