@@ -22,14 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .work import stash
+from .work import matched, packed, stash
 
 EDITS, LEAST_CHARS = 1, 20
 FEW = 16  # lines under a key that are compared with each other
@@ -143,19 +144,21 @@ def _line_keys(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, lid long, role byte")
 
 
-def _texts(docs: DataFrame, least_chars: int) -> DataFrame:
+def _texts(docs: DataFrame, seen: DataFrame, lids: DataFrame) -> DataFrame:
+    """lid, content: the wanted lines, each from one place where it stands."""
+    first = seen.join(lids, "lid").groupBy("lid").agg(F.min(F.struct("doc_id", "mark", "line")).alias("at"))
+    asked = first.groupBy(F.col("at.doc_id").alias("d"), F.col("at.mark").alias("m")).agg(F.collect_list(F.struct("lid", F.col("at.line").alias("line"))).alias("lines"))
+    met = matched(packed(docs.select("doc_id", "mark", "text")), asked)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for b in K.blocks(batch.column("text")):
-                data, offs = points(b)
-                lo, hi, _, _ = line_spans(data, offs)
-                long = hi - lo >= least_chars
-                lo, hi = lo[long], hi[long]
-                lid, once = np.unique(K.Prefix(data).of(lo, hi).view(np.int64), return_index=True)
-                whole = b.data.tobytes().decode()
-                yield pa.record_batch([pa.array(lid), pa.array([whole[lo[i] : hi[i]] for i in once], pa.string())], names=["lid", "content"])
+            for small, wanted in zip(batch.column("text"), batch.column("lines"), strict=True):
+                lines = unpack(small.as_buffer()).decode().split("\n")
+                lid, line = (wanted.values.field(c) for c in ("lid", "line"))
+                yield pa.record_batch([lid, pa.array([lines[i] for i in line.to_pylist()], pa.string())], names=["lid", "content"])
 
-    return docs.select("text").mapInArrow(run, "lid long, content string")
+    return met.select("text", "lines").mapInArrow(run, "lid long, content string").dropDuplicates(["lid"])
 
 
 def _remainders(met: DataFrame, edits: int, first: bool) -> DataFrame:
@@ -195,13 +198,12 @@ def _remainders(met: DataFrame, edits: int, first: bool) -> DataFrame:
     return met.select("key", "lid", "role", "content").mapInArrow(run, "key long, lid long, role byte, content string, leaf boolean")
 
 
-def _crowd(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows under keys that two lines share: with few lines, and with many."""
+def _crowd(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows under keys that an index entry and a probe of two lines share, with n, the lines under the key."""
     shared = rows.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo != hi").select("key")
-    rows = rows.join(shared, "key").groupBy("key", "lid", *extra).agg(F.bit_or("role").alias("role"))
-    counts = (rows := stash(rows)).groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).filter(f"roles = {INDEX | PROBE}")
-    rows = rows.join(counts.select("key", "n"), "key")
-    return rows.filter(F.col("n") <= FEW), rows.filter(F.col("n") > FEW)
+    rows = stash(rows.join(shared, "key").groupBy("key", "lid", *extra).agg(F.bit_or("role").alias("role")))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).filter(f"roles = {INDEX | PROBE}")
+    return stash(rows.join(counts.select("key", "n"), "key"))
 
 
 def _pairs(few: DataFrame) -> DataFrame:
@@ -219,22 +221,27 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
     return star.unionByName(x.join(y, "key").filter("a < b").select("a", "b"))
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """a, b: pairs of lines (hashes) within the edits, enough to connect each component."""
-    few, many = _crowd(_line_keys(docs, edits, least_chars), [])
-    pairs, first = _pairs(few), True
-    crowded = stash(many)
-    if not crowded.isEmpty():
-        wanted = _texts(docs, least_chars).join(crowded.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"])
-        crowded = crowded.select("key", "lid", "role").join(wanted, "lid")
-    while not crowded.isEmpty():
+def line_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """a, b: pairs of lines (hashes) within the edits, enough to connect each component.
+
+    docs: doc_id, mark, text; seen: their lines.
+    """
+    met = _crowd(_line_keys(docs, edits, least_chars), [])
+    texts = stash(_texts(docs, seen, met.select("lid").distinct()))
+    found, first = [_pairs(met.filter(F.col("n") <= FEW))], True
+    crowded = met.filter(F.col("n") > FEW).select("key", "lid", "role")
+    if more := not crowded.isEmpty():
+        crowded = crowded.join(texts, "lid")
+    while more:
         rest = stash(_remainders(crowded, edits, first))
-        pairs = pairs.unionByName(_leaf_pairs(rest.filter("leaf")))
-        few, many = _crowd(rest.filter("not leaf"), ["content"])
-        pairs, crowded, first = pairs.unionByName(_pairs(few)), stash(many), False
-    pairs = stash(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = stash(_texts(docs, least_chars).join(ends, "lid", "left_semi").dropDuplicates(["lid"]))
+        met = _crowd(rest.filter("not leaf"), ["content"])
+        found.append(stash(_leaf_pairs(rest.filter("leaf")).unionByName(_pairs(met.filter(F.col("n") <= FEW)))))
+        crowded, first = met.filter(F.col("n") > FEW), False
+        more = not crowded.isEmpty()
+    pairs = found[0]
+    for one in found[1:]:
+        pairs = pairs.unionByName(one)
+    pairs = pairs.distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,41 +254,41 @@ def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, mark (xxhash64 of the text), lines: numbers of the removed lines, and of those that equal another exactly."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
+    """d, m (doc_id and mark of docs), lines: numbers of the removed lines; n_near: how many equal no line that stays."""
     seen = stash(_occurrences(docs, least_chars))
-    roots = stash(components(stash(line_links(docs, edits, least_chars)))).select(F.col("node").alias("lid"), "root")
+    roots = stash(components(stash(line_links(docs, seen, edits, least_chars)))).select(F.col("node").alias("lid"), "root")
     place = F.struct("doc_id", "mark", "line")
-    lines = seen.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    lines = lines.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    lines = stash(lines.filter("n > 1").unionByName(lines.filter("n = 1 and root is not null")))
-    best = lines.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).filter("all > 1")
+    lines = seen.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(roots, "lid", "left")
+    lines = stash(lines.filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "lid")))
+    best = lines.groupBy("root").agg(F.min("first").alias("stays"))
     hit = lines.join(best, "root").select("lid", "stays", F.col("first").alias("own"))
     gone = seen.join(hit, "lid").filter(~place.eqNullSafe(F.col("stays")))
-    near = (F.col("stays") == F.col("own"))
-    return gone.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"), F.count_if(~near).alias("n_near"))
-
-
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def left(whole: str | None, numbers) -> str | None:
-        if whole is None or numbers is None:
-            return whole
-        out = set(map(int, numbers))
-        return "\n".join(line for i, line in enumerate(whole.split("\n")) if i not in out)
-
-    return pd.Series([left(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    near = F.col("stays") != F.col("own")
+    return gone.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set("line").alias("gone"), F.count_if(near).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows of docs with their text without removed lines, and n_lines, n_removed, n_near (removed as nearly equal)."""
-    gone = removed_lines(docs, edits, least_chars).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("lines").alias("__gone"), F.col("n_near").alias("__near"))
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    met = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")), "left")
-    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1 - F.col("text").endswith("\n").cast("int"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__gone"))
-    out = met.withColumns({"__text": text, "__lines": n_lines.cast("long"), "__n": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__near": F.coalesce("__near", F.lit(0)).cast("long")})
-    plain = [F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*plain, F.col("__lines").alias("__n_lines"), F.col("__n").alias("__n_removed"), F.col("__near").alias("__n_near"))
+    """The rows of docs with their text without removed lines, and __n_lines, __n_removed, __n_near (removed as nearly equal)."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), "text")
+    met = matched(packed(marked), removed_lines(marked.select("doc_id", "mark", "text"), edits, least_chars), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts, n_lines, n_removed = [], [], []
+            for small, numbers in zip(batch.column("text"), batch.column("gone"), strict=True):
+                text = unpack(small.as_buffer()).decode() if small.is_valid else None
+                out = set(numbers.as_py()) if numbers.is_valid else ()
+                n_lines.append(text.count("\n") + (text[-1] != "\n") if text else 0)
+                n_removed.append(len(out))
+                texts.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in out) if out else text)
+            yield pa.record_batch([batch.column("rest"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), batch.column("n_near")], names=["rest", "text", "n_lines", "n_removed", "n_near"])
+
+    kind = marked.schema["rest"].dataType
+    schema = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_near"))])
+    done = met.select("rest", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).mapInArrow(run, schema)
+    plain = [F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*plain, *(F.col(c).alias(f"__{c}") for c in ("n_lines", "n_removed", "n_near")))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
