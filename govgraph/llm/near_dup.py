@@ -5,12 +5,13 @@ starts at the root of each of several independent trees; at a node, coordinates
 sketch are chosen by the node's name, and the class goes on to one child for each, named by the node,
 the coordinate and the token there.  So similar sets meet in many nodes and others part quickly.
 Classes that share a small node are compared exhaustively; a large node compares every class with
-one of its members and branches again, until it is small or ``MAX_DEPTH`` is reached.  The trees are
+one of its members, and those unlike it branch again, until nodes are small.  The trees are
 as many as the target recall takes at the threshold itself.
 
-Sketches only choose candidates: a link needs ``100 * |A & B| >= percent * |A | B|`` on the full sets.
-First each class is checked against one neighbour, and then only pairs whose ends are still in
-different components, so copies cost a check each, not one for each pair.
+Sketches only choose candidates, whose connections are loose components: a link needs
+``100 * |A & B| >= percent * |A | B|`` on the full sets.  First each class is checked against its
+likeliest neighbour.  Where a loose component is still in parts, all classes outside its largest part
+are compared with all of it, in blocks.  So copies cost a check each, not one for each pair.
 
 Null and empty texts and those without words have an empty set and no links.  Equal rows are one
 class.  Rows that share doc_id keep their own sets; a null doc_id is kept, and is in the component of
@@ -24,16 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .work import stash
+from .work import matched, packed, stash, unpacked
 
 TOKENS = 64  # coordinates of a sketch
 TREES, DEPTH, BRANCHES = 3, 4, 2  # recall of a pair at 0.8: 1 - (1 - 0.94) ** 3 = 0.9998
-SMALL_NODE, MAX_DEPTH = 24, 12
+SMALL_NODE, AGAIN, MAX_DEPTH = 12, 4, 32
+#: In a large node, classes at least so like its chosen member belong to its loose component; below the second they branch again.
+LOOSE_PERCENT, AGAIN_PERCENT = 40, 55
+ASKING, ANSWERING = 256, 1024  # classes on the sides of a block of exact comparisons
 #: Candidates whose estimate is below the threshold less four standard deviations (0.05) are dropped.
 SLACK_PERCENT = 20
 
@@ -78,14 +83,19 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(small: DataFrame, words: int) -> DataFrame:
+    """digest, members: the sets of compressed texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for b in K.blocks(batch.column("text")):
-                found = [x for x in shingle_sets(b, words)]
-                yield pa.record_batch([pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "members"])
+            for lo in range(0, len(batch), 500):
+                texts = pa.array([unpack(v.as_buffer()) for v in batch.column("text").slice(lo, 500)], pa.binary())
+                for b in K.blocks(texts):
+                    found = list(shingle_sets(b, words))
+                    yield pa.record_batch([pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "members"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, members binary")
+    return small.select("text").mapInArrow(run, "digest binary, members binary")
 
 
 def _children(node: np.ndarray, sketches: np.ndarray, levels: int) -> np.ndarray:
@@ -101,7 +111,7 @@ def _children(node: np.ndarray, sketches: np.ndarray, levels: int) -> np.ndarray
 
 
 def _paths(at: DataFrame, levels: int) -> DataFrame:
-    """cid, sketch and perhaps node -> node, cid, after some more levels; without a node, from the roots."""
+    """cid, sketch and perhaps node -> node, cid: some levels below the roots, or below the node."""
     rooted = "node" in at.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,38 +124,58 @@ def _paths(at: DataFrame, levels: int) -> DataFrame:
                     node = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
                 else:
                     node = np.broadcast_to(K.mix(np.arange(1, TREES + 1, dtype=np.uint64)), (n, TREES))
-                out = _children(node, sketches, levels)
-                cid = np.repeat(part.column("cid").to_numpy(zero_copy_only=False), out.shape[1])
+                cid = part.column("cid").to_numpy(zero_copy_only=False)
+                if rooted:  # 1 / 0.8 children: one for every node, and another for one node in four
+                    node, row = node[:, 0], np.arange(n)
+                    for _ in range(levels):
+                        out = _children(node[:, None], sketches[row], 1)
+                        more = K.mix(node) % np.uint64(4) == 0
+                        node, row = np.concatenate([out[:, 0], out[more, 1]]), np.concatenate([row, row[more]])
+                    out, cid = node, cid[row]
+                else:
+                    out = _children(node, sketches, levels)
+                    cid = np.repeat(cid, out.shape[1])
                 yield pa.record_batch([pa.array(out.reshape(-1).view(np.int64)), pa.array(cid)], names=["node", "cid"])
 
     return at.select(*(["node"] if rooted else []), "cid", "sketch").mapInArrow(run, "node long, cid long")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes that meet in a node."""
-    paths, depth, found = _paths(classes, DEPTH), DEPTH, []
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, sim: pairs of classes that meet in a node and whose sketches agree well enough.
+
+    A class like the chosen member of a large node joins its loose component, which is compared
+    exactly later; those unlike it go on.
+    """
+    paths, depth, small, found = _paths(classes, DEPTH), DEPTH, [], []
     while True:
         rank = F.struct(F.xxhash64("cid", "node").alias("h"), F.col("cid").alias("p"))
         nodes = paths.groupBy("node").agg(F.count("*").alias("n"), F.min(rank).getField("p").alias("pivot")).filter("n > 1")
         met = stash(paths.join(nodes, "node"))
         members = met.filter(F.col("n") <= SMALL_NODE).groupBy("node").agg(F.array_sort(F.collect_set("cid")).alias("m"))
         pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        found.append(members.filter("size(m) > 1").select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-        large = met.filter(F.col("n") > SMALL_NODE)
-        found.append(large.filter("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")))
-        if depth >= MAX_DEPTH or large.isEmpty():
+        small.append(members.filter("size(m) > 1").select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
+        large = met.filter((F.col("n") > SMALL_NODE) & (F.col("cid") != F.col("pivot")))
+        if large.isEmpty():
+            break
+        star = stash(_alike(large.select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), classes, 0))
+        found.append(star)
+        if depth >= MAX_DEPTH:
             break
-        paths = _paths(large.select("node", "cid").join(classes.select("cid", "sketch"), "cid"), 2).distinct()
-        depth += 2
-    union = found[0]
-    for more in found[1:]:
+        far = star.filter(F.col("sim") < AGAIN_PERCENT).select(F.col("a").alias("cid"), F.col("b").alias("pivot"))
+        rest = large.join(far, ["cid", "pivot"]).select("node", "cid")
+        paths = _paths(rest.join(classes.select("cid", "sketch"), "cid"), AGAIN)
+        depth += AGAIN
+    union = small[0]
+    for more in small[1:]:
         union = union.unionByName(more)
-    return union.distinct()
+    every = _alike(union.distinct(), classes, percent - SLACK_PERCENT)
+    for more in found:
+        every = every.unionByName(more.filter(F.col("sim") >= LOOSE_PERCENT))
+    return every.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches agree well enough to be checked."""
-    least = (percent - SLACK_PERCENT) * TOKENS / 100
+def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """a, b, sim: how many percent of the sketches agree, for pairs from ``least`` on."""
     left = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
 
@@ -154,9 +184,10 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(len(part), TOKENS) for c in ("sa", "sb"))
-                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+                sim = 100 * (x == y).mean(axis=1)
+                yield pa.record_batch([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"]).filter(pa.array(sim >= least))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,6 +207,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+def _across(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the parts of each loose component, not all of them.  loose: cid, loose, part.
+
+    All but the largest part ask, against every class of the loose component, in blocks of some
+    classes by some classes: a task holds two blocks, however large the component.
+    """
+    parts = loose.groupBy("loose", "part").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("loose").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    whole = whole.select("loose", "n", (F.col("n") - F.col("largest.n")).alias("asking"), F.col("largest.part").alias("largest"))
+    blocks = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    rows = loose.join(whole, "loose").join(sets, "cid").withColumn("asks", F.col("part") != F.col("largest"))
+    rows = rows.withColumns({"nq": blocks("asking", ASKING), "na": blocks("n", ANSWERING), "h": F.xxhash64("cid")})
+    asks = rows.filter("asks").withColumn("q", F.pmod("h", F.col("nq"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    answers = rows.withColumn("a", F.pmod("h", F.col("na"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("asks", F.lit(False))
+    columns = ["loose", "q", "a", "asks", "cid", "part", "members"]
+    dealt = asks.select(*columns).unionByName(answers.select(*columns)).repartition("loose", "q", "a").sortWithinPartitions("loose", "q", "a", F.col("asks").desc())
+
+    def links(asking: list[tuple], answering: list[tuple]) -> Iterator[tuple[int, int]]:
+        members = [np.frombuffer(m, np.uint64) for _, _, m in asking]
+        sizes, part = np.array([len(m) for m in members]), np.array([p for _, p, _ in asking])
+        token, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        above: dict[int, int] = {}
+
+        def find(part: int) -> int:
+            while (up := above.setdefault(part, part)) != part:
+                above[part] = above[up]
+                part = above[part]
+            return part
+
+        for cid, own, m in answering:
+            x = np.frombuffer(m, np.uint64)
+            lo, hi = np.searchsorted(token, x), np.searchsorted(token, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(members))
+            for i in np.flatnonzero((100 * common >= percent * (sizes + len(x) - common)) & (part != own)):
+                a, b = find(int(part[i])), find(own)
+                if a != b:  # one link between two parts is enough
+                    above[a] = b
+                    yield asking[i][0], cid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asking, answering = None, [], []
+
+        def done() -> pa.RecordBatch:
+            found = list(links(asking, answering)) if asking else []
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *at, asks, cid, own, m in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if at != key:
+                    yield done()
+                    key, asking, answering = at, [], []
+                (asking if asks else answering).append((cid, own, m))
+        yield done()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, mark (xxhash64 of the text), n_shingles, component_id (smallest doc_id
     reachable), kept (doc_id = component_id), stays (true in one document of each component, equal rows alike).
@@ -183,25 +276,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = stash(_sketches(docs, words))
     least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("label"), F.first("sketch").alias("sketch"))
     classes = stash(least.withColumn("cid", F.monotonically_increasing_id()))
-    pairs = stash(_alike(_candidates(classes), classes, percent))
+    pairs = stash(_candidates(classes, percent))
 
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = classes.join(ends, "cid").select("cid", "digest", "label")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted.select(F.col("label.doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = _sets(texts, words).join(wanted.select("digest", "cid"), "digest").dropDuplicates(["cid"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    asked = wanted.select(F.col("label.doc_id").alias("d"), F.col("label.mark").alias("m")).distinct()
+    sets = _sets(matched(packed(texts), asked, "left_semi"), words).join(wanted.select("digest", "cid"), "digest").dropDuplicates(["cid"])
     sets = stash(sets.select("cid", "members"))
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    best = lambda x, y: pairs.select(F.col(x).alias("x"), F.struct("sim", F.col(y).alias("y")).alias("near"))
+    nearest = best("a", "b").unionByName(best("b", "a")).groupBy("x").agg(F.max("near").alias("near"))
+    first = nearest.select(F.least("x", "near.y").alias("a"), F.greatest("x", "near.y").alias("b")).distinct()
     links = stash(_confirmed(first, sets, percent))
-    roots = stash(components(links))
-    there = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.join(first, ["a", "b"], "left_anti").join(there("a"), "a", "left").join(there("b"), "b", "left")
-    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = stash(_confirmed(apart, sets, percent))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = stash(components(links))
+    parts = stash(components(links)).select(F.col("node").alias("cid"), F.col("root").alias("part"))
+    loose = stash(components(pairs.select("a", "b"))).select(F.col("node").alias("cid"), F.col("root").alias("loose"))
+    loose = loose.join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    more = stash(_across(loose, sets, percent))
+    roots = stash(components(links.unionByName(more)))
 
     named = classes.select("cid", "digest", "label").join(roots.withColumnRenamed("node", "cid"), "cid")
     smallest = named.groupBy("root").agg(F.min("label").alias("smallest"))
@@ -216,10 +308,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component; documents without words all stay, and equal rows are one."""
-    stays = near_duplicates(docs, words, percent).filter("stays").select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"))
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    met = marked.join(stays.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    return met.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
+    stays = near_duplicates(docs, words, percent).filter("stays").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), rest, "text")
+    met = matched(packed(rows), stays.distinct(), "left_semi").dropDuplicates(["doc_id", "mark"])
+    done = unpacked(met.select("rest", "text"))
+    return done.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

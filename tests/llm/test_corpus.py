@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from govgraph.llm import language, line_dedup, mixing, near_dup, top_k
+from govgraph.llm import components, language, line_dedup, mixing, near_dup, top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,6 +119,19 @@ def test_near_duplicates(spark, small, block, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), groups.find(r.doc_id), groups.find(r.doc_id) == r.doc_id)
 
 
+def test_components(spark, monkeypatch):
+    rng, groups = random.Random(2), Groups()
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
+    edges += [(100 + i, 101 + i) for i in range(30)]
+    for a, b in edges:
+        groups.join(a, b)
+    want = {x: groups.find(x) for a, b in edges if a != b for x in (a, b)}
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
 def test_near_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -196,6 +209,8 @@ def test_fold(spark):
 def test_top_k(spark, block, monkeypatch):
     monkeypatch.setattr(top_k, "ROW_BLOCK", block)
     monkeypatch.setattr(top_k, "QUERY_BLOCK", max(2, block // 8))
+    monkeypatch.setattr(top_k, "FIRST", 8)
+    monkeypatch.setattr(top_k, "STEP", 4)
     rng = np.random.default_rng(block)
     x = np.round(rng.normal(0, 0.3, (120, 8)), 2)
     x[50:60] = x[0]  # ties
