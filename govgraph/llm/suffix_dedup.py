@@ -34,7 +34,9 @@ from . import kernels as K
 from .work import stash
 
 LENGTH, GRAM = 200, 48
-SHALLOW, CROWD = 32, 400
+SHALLOW = 32
+#: Contexts that one task may hold for an anchor: about 6 MB.
+CROWD = 1 << 14
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -372,6 +374,8 @@ def _kept(joined: DataFrame, length: int, digests: bool) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that are left, or their SHA-256."""
+    if not 0 <= length - gram < 256:
+        raise ValueError("the gram must be shorter than the length, by less than 256")
     mark = F.xxhash64("text").bitwiseAND(0xFFFFFF)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
     ranges = stash(repeated_ranges(docs, length, gram)).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "ranges")
