@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .work import stash
 
 PIVOTS, SCALE = 32, 256
-QUERY_BLOCK, ROW_BLOCK, STEP = 1024, 4096, 64
+QUERY_BLOCK, ROW_BLOCK, FIRST, STEP = 1024, 4096, 128, 512
 
 
 def _whole(rows: DataFrame, vector: str) -> DataFrame:
@@ -52,28 +52,45 @@ def _table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def best_of(queries: tuple, rows: tuple, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(query row, query id, id, score): the k best of a block for each query.  Each side: row, id, vectors, distances."""
+    """(query row, query id, id, score): the k best of a block for each query.  Each side: row, id, vectors, distances.
+
+    The FIRST candidates by bound give a k-th score; of the others only those whose bound reaches it
+    are ordered, and evaluated until the next bound is below the k-th score so far.
+    """
     qrow, qid, q, qfar = queries
     row, own, x, far = rows
+    # Products of whole numbers are exact in double precision below 2 ** 53.
+    exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2.0**53
+    x, q = (x.astype(np.float64), q.astype(np.float64)) if exact else (x, q)
     norm = (x.astype(np.float64) ** 2).sum(axis=1)
+    table, qfar = np.ascontiguousarray(far.T, np.float32), qfar.astype(np.float32)
     for i in range(len(qrow)):
-        least = np.zeros(len(row))
-        for p in range(far.shape[1]):
-            np.maximum(least, np.abs(far[:, p] - qfar[i, p]), out=least)
+        least = np.abs(table - qfar[i][:, None]).max(axis=0).astype(np.float64)
         qnorm = float((q[i].astype(np.float64) ** 2).sum())
         bound = (qnorm + norm - least * least) / 2
-        bound += 1e-9 * (qnorm + norm) + 1e-6  # room for rounding: never below the true score
+        bound += 1e-5 * (qnorm + norm) + 1  # room for rounding in single precision: never below the true score
         bound[row == qrow[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[int, int]] = []
-        for lo in range(0, len(order), STEP):
-            some = order[lo : lo + STEP]
-            if bound[some[0]] == -np.inf or (len(best) == k and bound[some[0]] < -best[-1][0]):
+        best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        some = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))
+        some = some[bound[some] > -np.inf]
+        rest = None
+        while len(some):
+            score = np.rint(x[some] @ q[i]).astype(np.int64) if exact else x[some] @ q[i]
+            near = score >= best_score[-1] if len(best_score) == k else slice(None)
+            score, ids = np.r_[best_score, score[near]], np.r_[best_id, own[some][near]]
+            order = np.lexsort((ids, -score))[:k]
+            best_score, best_id = score[order], ids[order]
+            enough = best_score[-1] if len(best_score) == k else -np.inf
+            if rest is None:
+                left = bound >= enough
+                left[some] = False
+                rest = np.flatnonzero(left & (bound > -np.inf))
+                rest = rest[np.argsort(-bound[rest], kind="stable")]
+            some, rest = rest[:STEP], rest[STEP:]
+            if len(some) and bound[some[0]] < enough:
                 break
-            some = some[bound[some] > -np.inf]
-            best = sorted([*best, *zip((-(x[some] @ q[i])).tolist(), own[some].tolist(), strict=True)])[:k]
-        for score, vec_id in best:
-            yield int(qrow[i]), int(qid[i]), vec_id, -score
+        for score, vec_id in zip(best_score.tolist(), best_id.tolist(), strict=True):
+            yield int(qrow[i]), int(qid[i]), vec_id, score
 
 
 def top_k(rows: DataFrame, is_query, k: int = 5, vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
