@@ -1,17 +1,20 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are linked when at most ``edits`` insertions, deletions and substitutions of code points
-apart.  A line of length n is split into edits + 1 segments; one of them must stand, unchanged and
+Two lines are linked when at most so many insertions, deletions and substitutions of code points
+apart as the length of the shorter one allows: one from 20 code points on, two from 50, three from
+100 (``ALLOWED_FROM``); shorter lines are linked when equal.  A line of length n is split into edits + 1 segments; one of them must stand, unchanged and
 within a shift that the edits allow, in any line linked with it.  So each line writes its segments to
 an index keyed by (length, segment number, content) and probes the index of each length that a
 partner may have with the few substrings in question.  Few lines under a key are compared with each
 other.  Many lines under a key take that substring out and partition what remains again: what the
-edits changed is all in there.  Once it is too short to split, lines with equal remainders hang on
-one of them and only distinct remainders are compared, whose number the alphabet bounds.
+edit changed is all in there.  Once it is too short to split, lines with equal remainders hang on
+one of them and only distinct remainders are compared, whose number the alphabet bounds.  With more
+than one edit the partitions of near lines would multiply; there the lines under a key are compared
+in blocks, by counts of their code points and then by the automaton, unless already connected.
 Candidates are verified on whole lines by a banded bit-parallel automaton.
 
 Of each component of lines (copies included) the first occurrence stays, by (doc_id, text hash, line
-number); the others are removed.  Lines under ``least_chars`` code points are never touched.
+number); the others are removed, however short (empty lines too).
 
 Null and empty texts have no such line and stay as they are.  Rows with one doc_id keep their own
 lines; fully equal rows are treated alike.  Extra columns, of any name, are carried along.
@@ -32,9 +35,17 @@ from . import kernels as K
 from .components import components
 from .work import matched, packed, stash
 
-EDITS, LEAST_CHARS = 1, 20
+#: The code points from which a line may differ by one, two, three edits.
+ALLOWED_FROM = (20, 50, 100)
 FEW = 16  # lines under a key that are compared with each other
+BLOCK = 128  # lines of a block, where blocks are compared
 INDEX, PROBE = 1, 2
+EDITS_BIT = 2  # from this bit on, the role has the edits of its key
+
+
+def allowed(n: np.ndarray, edits: int | None) -> np.ndarray:
+    """Edits between two lines of which the shorter has n code points: ``edits``, or by its length."""
+    return np.searchsorted(ALLOWED_FROM, n, "right") if edits is None else np.full(np.shape(n), edits)
 
 
 def points(b: K.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +68,16 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return lo, hi, row, number
 
 
-def keys(prefix: K.Prefix, lo: np.ndarray, hi: np.ndarray, edits: int, seed: np.ndarray) -> Iterator[tuple]:
-    """Keys of strings: (which strings, key, role, start and length of the substring under it)."""
+def keys(prefix: K.Prefix, lo: np.ndarray, hi: np.ndarray, edits: int, seed: np.ndarray, rule: int | None = None, every: bool = True) -> Iterator[tuple]:
+    """Keys of strings: (which strings, key, role, start and length of the substring under it).
+
+    Unless ``every``, only of lengths to which ``allowed`` gives these edits.
+    """
     parts = edits + 1
     size = hi - lo
     for delta in range(edits + 1):
         n = size - delta
-        ok = np.flatnonzero(n >= parts)
+        ok = np.flatnonzero((n >= parts) & (every or allowed(n, rule) == edits))
         n = n[ok]
         for i in range(parts):
             at = i * n // parts
@@ -112,7 +126,7 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, mark, line, lid: every line long enough."""
+    """doc_id, mark, line, lid: every line of least_chars or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +141,10 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, line int, lid long")
 
 
-def _line_keys(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFrame:
+    """key, lid, role of every line that may differ from another; the role has the key's edits above its two bits."""
+    levels = range(1, len(ALLOWED_FROM) + 1) if edits is None else [edits]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in K.blocks(batch.column("text")):
@@ -138,8 +155,9 @@ def _line_keys(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
                 lo, hi = lo[long], hi[long]
                 lid, once = np.unique(prefix.of(lo, hi).view(np.int64), return_index=True)
                 lo, hi = lo[once], hi[once]
-                for which, key, role, _, _ in keys(prefix, lo, hi, edits, np.zeros(len(lo), np.uint64)):
-                    yield pa.record_batch([pa.array(key), pa.array(lid[which]), pa.array(role)], names=["key", "lid", "role"])
+                for level in levels:
+                    for which, key, role, _, _ in keys(prefix, lo, hi, level, np.zeros(len(lo), np.uint64), edits, False):
+                        yield pa.record_batch([pa.array(key), pa.array(lid[which]), pa.array(role + np.int8(level << EDITS_BIT))], names=["key", "lid", "role"])
 
     return docs.select("text").mapInArrow(run, "key long, lid long, role byte")
 
@@ -200,9 +218,11 @@ def _remainders(met: DataFrame, edits: int, first: bool) -> DataFrame:
 
 def _crowd(rows: DataFrame, extra: list[str]) -> DataFrame:
     """Rows under keys that an index entry and a probe of two lines share, with n, the lines under the key."""
-    shared = rows.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo != hi").select("key")
-    rows = stash(rows.join(shared, "key").groupBy("key", "lid", *extra).agg(F.bit_or("role").alias("role")))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).filter(f"roles = {INDEX | PROBE}")
+    rows = rows.repartition("key")  # dealt once: what follows reads the same exchange, as it asks for the same columns
+    keys = rows.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.bit_or("role").alias("roles"))
+    shared = keys.filter(f"lo != hi and roles & {INDEX | PROBE} = {INDEX | PROBE}").select("key")
+    rows = stash(rows.join(shared.hint("shuffle_hash"), "key").groupBy("key", "lid", *extra).agg(F.bit_or("role").alias("role")))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).filter(f"roles & {INDEX | PROBE} = {INDEX | PROBE}")
     return stash(rows.join(counts.select("key", "n"), "key"))
 
 
@@ -221,7 +241,53 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
     return star.unionByName(x.join(y, "key").filter("a < b").select("a", "b"))
 
 
-def line_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def _block_links(crowded: DataFrame, edits: int | None) -> DataFrame:
+    """a, b: links that connect what the lines (key, lid, role, content, n) under one key connect, compared in blocks."""
+    part = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK))
+    blocks = stash(crowded.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("lid", "role", "content")).alias("lines")))
+    x, y = (blocks.select("key", F.col("part").alias(f"{c}_part"), F.col("lines").alias(c)) for c in "xy")
+    met = x.join(y, "key").filter("x_part <= y_part").select((F.col("x_part") == F.col("y_part")).alias("same"), "x", "y")
+
+    def compare(m: list[dict], left: np.ndarray, right: np.ndarray, root: list[int]) -> Iterator[tuple[int, int]]:
+        """Links between the lines left and right that connect two components."""
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        size = np.array([len(r["content"]) for r in m])
+        role = np.array([r["role"] for r in m])
+        counts = np.zeros((len(m), 32), np.int16)
+        for i, r in enumerate(m):
+            counts[i] = np.bincount(np.frombuffer(r["content"].encode("utf-32-le"), np.uint32) & 31, minlength=32)
+        for i in left.tolist():
+            least = allowed(np.minimum(size[i], size[right]), edits)
+            index = (role[i] & INDEX > 0) & (role[right] & PROBE > 0) | (role[i] & PROBE > 0) & (role[right] & INDEX > 0)
+            apart = counts[right] - counts[i]
+            far = np.maximum(np.where(apart > 0, apart, 0).sum(1), np.where(apart < 0, -apart, 0).sum(1))
+            for j, most in zip(right[near := index & (far <= least)].tolist(), least[near].tolist(), strict=True):
+                if i != j and (a := find(i)) != (b := find(j)) and within(m[i]["content"], m[j]["content"], most):
+                    root[a] = b
+                    yield i, j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                same, x, y = (batch.column(c)[at].as_py() for c in ("same", "x", "y"))
+                m = x if same else x + y
+                left, right, root = np.arange(len(x)), np.arange(len(x), len(m)), list(range(len(m)))
+                found = list(compare(m, left, left, root))
+                if not same:  # what a block connects within is a row of its own
+                    list(compare(m, right, right, root))
+                    found = list(compare(m, left, right, root))
+                a, b = ([m[p[i]]["lid"] for p in found] for i in (0, 1))
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def line_links(docs: DataFrame, seen: DataFrame, edits: int | None = None, least_chars: int = 0) -> DataFrame:
     """a, b: pairs of lines (hashes) within the edits, enough to connect each component.
 
     docs: doc_id, mark, text; seen: their lines.
@@ -229,11 +295,16 @@ def line_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, least_chars
     met = _crowd(_line_keys(docs, edits, least_chars), [])
     texts = stash(_texts(docs, seen, met.select("lid").distinct()))
     found, first = [_pairs(met.filter(F.col("n") <= FEW))], True
-    crowded = met.filter(F.col("n") > FEW).select("key", "lid", "role")
+    crowded = met.filter(F.col("n") > FEW).select("key", "lid", "role", "n")
+    blocked = None
     if more := not crowded.isEmpty():
-        crowded = crowded.join(texts, "lid")
+        crowded = stash(crowded.join(texts, "lid"))
+        one = F.shiftright("role", EDITS_BIT) == 1
+        blocked = _block_links(crowded.filter(~one), edits)
+        crowded = crowded.filter(one).withColumn("role", F.col("role").bitwiseAND(INDEX | PROBE).cast("byte"))
+        more = not crowded.isEmpty()
     while more:
-        rest = stash(_remainders(crowded, edits, first))
+        rest = stash(_remainders(crowded, 1, first))
         met = _crowd(rest.filter("not leaf"), ["content"])
         found.append(stash(_leaf_pairs(rest.filter("leaf")).unionByName(_pairs(met.filter(F.col("n") <= FEW)))))
         crowded, first = met.filter(F.col("n") > FEW), False
@@ -245,15 +316,18 @@ def line_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, least_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(x, y, edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            x, y = (batch.column(c).to_pylist() for c in "xy")
+            most = allowed(np.array([min(len(i), len(j)) for i, j in zip(x, y, strict=True)], np.int64), edits).tolist()
+            ok = [within(*one) for one in zip(x, y, most, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("content").alias("x")), "a")
     both = both.join(texts.select(F.col("lid").alias("b"), F.col("content").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return links.unionByName(blocked) if blocked else links
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int | None = None, least_chars: int = 0) -> DataFrame:
     """d, m (doc_id and mark of docs), lines: numbers of the removed lines; n_near: how many equal no line that stays."""
     seen = stash(_occurrences(docs, least_chars))
     roots = stash(components(stash(line_links(docs, seen, edits, least_chars)))).select(F.col("node").alias("lid"), "root")
@@ -267,7 +341,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set("line").alias("gone"), F.count_if(near).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | None = None, least_chars: int = 0) -> DataFrame:
     """The rows of docs with their text without removed lines, and __n_lines, __n_removed, __n_near (removed as nearly equal)."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), "text")
     met = matched(packed(marked), removed_lines(marked.select("doc_id", "mark", "text"), edits, least_chars), "left")

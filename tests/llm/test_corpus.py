@@ -79,6 +79,36 @@ def test_line_dedup(spark, edits, few, monkeypatch):
     assert all(r.lines == "kept" for r in got)
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_line_dedup_by_length(spark, few, monkeypatch):
+    """Several edits in longer lines, and exact copies of lines of any length."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rng, allowed = random.Random(few), lambda n: sum(n >= least for least in (20, 50, 100))
+    rows, seen, groups = [], [], Groups()
+    for n in (2, 19, 20, 48, 50, 60, 98, 100, 140):
+        base = "".join(rng.choice("abcdé") for _ in range(n))
+        for k in range(9):
+            line = list(base)
+            for _ in range(k // 2):
+                i = rng.randrange(len(line))
+                line[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            rows.append((len(rows), "".join(line) + "\nok\nunlike " + str(len(rows))))
+    for d, t in rows:
+        seen += [(d, i, x) for i, x in enumerate(t.split("\n"))]
+    lines = sorted({x for _, _, x in seen})
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if abs(len(a) - len(b)) <= allowed(min(len(a), len(b))) and distance(a, b) <= allowed(min(len(a), len(b))):
+                groups.join(a, b)
+    first = {}
+    for d, i, x in seen:
+        first.setdefault(groups.find(x), (d, i))
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if first[groups.find(x)] == (d, i)) for d, t in rows}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
 def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
