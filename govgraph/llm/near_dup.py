@@ -33,13 +33,17 @@ from . import kernels as K
 from .components import components
 from .work import matched, packed, stash, unpacked
 
-TOKENS = 64  # coordinates of a sketch
-TREES, DEPTH, BRANCHES = 3, 4, 2  # recall of a pair at 0.8: 1 - (1 - 0.94) ** 3 = 0.9998
+TOKENS = 96  # coordinates of a sketch
+TREES, DEPTH, BRANCHES = 4, 4, 2
+#: Below a large node, so many nodes in four have a second child: 1.75 * 0.8 is well above 1, so a shared path lives on at any depth.
+#: A pair at 0.8, with one sketch for all trees, is missed with probability 0.00006 at depth 4 and 0.00017 at depth 32.
+SECOND_CHILD = 3
 SMALL_NODE, AGAIN, MAX_DEPTH = 12, 4, 32
 #: In a large node, classes at least so like its chosen member belong to its loose component; below the second they branch again.
-LOOSE_PERCENT, AGAIN_PERCENT = 40, 55
+#: They are 20 apart: of a pair at 0.8, one cannot be above the second and the other below the first, but for the estimates' error.
+LOOSE_PERCENT, AGAIN_PERCENT = 40, 60
 ASKING, ANSWERING = 256, 1024  # classes on the sides of a block of exact comparisons
-#: Candidates whose estimate is below the threshold less four standard deviations (0.05) are dropped.
+#: Candidates whose estimate is below the threshold less almost five standard deviations (0.041) are dropped.
 SLACK_PERCENT = 20
 
 _rng = np.random.default_rng(7)
@@ -110,6 +114,15 @@ def _children(node: np.ndarray, sketches: np.ndarray, levels: int) -> np.ndarray
     return node
 
 
+def _below(node: np.ndarray, sketches: np.ndarray, row: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of nodes some levels below, and the row of each: every node has a child, and some have two."""
+    for _ in range(levels):
+        out = _children(node[:, None], sketches[row], 1)
+        more = K.mix(node) % np.uint64(4) < np.uint64(SECOND_CHILD)
+        node, row = np.concatenate([out[:, 0], out[more, 1]]), np.concatenate([row, row[more]])
+    return node, row
+
+
 def _paths(at: DataFrame, levels: int) -> DataFrame:
     """cid, sketch and perhaps node -> node, cid: some levels below the roots, or below the node."""
     rooted = "node" in at.columns
@@ -125,13 +138,9 @@ def _paths(at: DataFrame, levels: int) -> DataFrame:
                 else:
                     node = np.broadcast_to(K.mix(np.arange(1, TREES + 1, dtype=np.uint64)), (n, TREES))
                 cid = part.column("cid").to_numpy(zero_copy_only=False)
-                if rooted:  # 1 / 0.8 children: one for every node, and another for one node in four
-                    node, row = node[:, 0], np.arange(n)
-                    for _ in range(levels):
-                        out = _children(node[:, None], sketches[row], 1)
-                        more = K.mix(node) % np.uint64(4) == 0
-                        node, row = np.concatenate([out[:, 0], out[more, 1]]), np.concatenate([row, row[more]])
-                    out, cid = node, cid[row]
+                if rooted:
+                    out, row = _below(node[:, 0], sketches, np.arange(n), levels)
+                    cid = cid[row]
                 else:
                     out = _children(node, sketches, levels)
                     cid = np.repeat(cid, out.shape[1])
@@ -144,7 +153,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """a, b, sim: pairs of classes that meet in a node and whose sketches agree well enough.
 
     A class like the chosen member of a large node joins its loose component, which is compared
-    exactly later; those unlike it go on.
+    exactly later; those unlike it go on.  At MAX_DEPTH all of a large node are one loose component.
     """
     paths, depth, small, found = _paths(classes, DEPTH), DEPTH, [], []
     while True:
@@ -158,9 +167,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         if large.isEmpty():
             break
         star = stash(_alike(large.select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), classes, 0))
-        found.append(star)
         if depth >= MAX_DEPTH:
+            found.append(star.withColumn("sim", F.greatest("sim", F.lit(float(LOOSE_PERCENT)))))
             break
+        found.append(star)
         far = star.filter(F.col("sim") < AGAIN_PERCENT).select(F.col("a").alias("cid"), F.col("b").alias("pivot"))
         rest = large.join(far, ["cid", "pivot"]).select("node", "cid")
         paths = _paths(rest.join(classes.select("cid", "sketch"), "cid"), AGAIN)

@@ -149,6 +149,40 @@ def test_near_duplicates(spark, small, block, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), groups.find(r.doc_id), groups.find(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_at_the_last_depth(spark, monkeypatch):
+    """A node that is still large at MAX_DEPTH is compared exactly, also what is unlike its chosen member."""
+    monkeypatch.setattr(near_dup, "SMALL_NODE", 2)
+    monkeypatch.setattr(near_dup, "DEPTH", 0)
+    monkeypatch.setattr(near_dup, "MAX_DEPTH", 0)
+    rows = [r for r in near_rows() if r[0] is not None]
+    sets, groups = {d: sets_of(t, 2) for d, t in rows}, Groups()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                groups.join(a, b)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: groups.find(d) for d in sets}
+
+
+def test_near_recall():
+    """Pairs of sketches that agree as those of sets at the threshold do meet at every depth in 0.999 of the cases."""
+    rng, n = np.random.default_rng(4), 20000
+    x = rng.integers(0, 1 << 32, (n, near_dup.TOKENS), dtype=np.uint32)
+    y = np.where(rng.random(x.shape) < 0.8, x, rng.integers(0, 1 << 32, x.shape, dtype=np.uint32))
+    roots = near_dup.K.mix(np.arange(1, near_dup.TREES + 1, dtype=np.uint64))
+    a, b = (near_dup._children(np.broadcast_to(roots, (n, near_dup.TREES)), s, near_dup.DEPTH) for s in (x, y))
+    row, at = np.nonzero(a == b)  # a node's name has its whole path, so only shared ones matter
+    node, depth = a[row, at], near_dup.DEPTH
+    while depth < near_dup.MAX_DEPTH:
+        assert len(np.unique(row)) / n > 0.999
+        node, row, other = *near_dup._below(node, x, row, 1), near_dup._below(node, y, row, 1)[0]
+        row, node = row[node == other], node[node == other]
+        few = np.lexsort((node, row))  # some dozen paths of a pair stand for all
+        nth = np.arange(len(few)) - np.searchsorted(row[few], row[few])
+        row, node, depth = row[few][nth < 40], node[few][nth < 40], depth + 1
+    assert len(np.unique(row)) / n > 0.999
+
+
 def test_components(spark, monkeypatch):
     rng, groups = random.Random(2), Groups()
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
