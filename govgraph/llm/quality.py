@@ -22,8 +22,9 @@ from . import kernels as K
 WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Limits of the repetition verdict: a passage counts from LONG_WORDS words on.
-LONG_WORDS, MAX_LONG_PERCENT, MAX_LONGEST_WORDS = 10, 20, 200
+#: Limits of the repetition verdict: a passage counts from LONG_WORDS words on.  Its words are among those that the base
+#: counts, so its share must be below the base's to reject anything; one passage over 50 words is a copied paragraph.
+LONG_WORDS, MAX_LONG_PERCENT, MAX_LONGEST_WORDS = 10, 10, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 

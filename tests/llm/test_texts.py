@@ -89,6 +89,19 @@ def test_quality(spark):
     assert quality.quality_rules(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_quality_verdict(spark):
+    """Texts that pass the base rules and fail by the share of long passages alone, or by the longest alone."""
+    say = lambda n, at: " ".join(f"w{at + i}" for i in range(n))
+    texts = {
+        1: f"{say(15, 0)} {say(70, 100)} {say(15, 0)} {say(100, 200)}",  # 30 of 200 words
+        2: f"{say(60, 0)} {say(900, 100)} {say(60, 0)} {say(980, 2000)}",  # 120 of 2,000 words
+        3: f"{say(15, 0)} {say(170, 100)} {say(15, 0)} {say(200, 300)}",  # 30 of 400 words
+    }
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(got[i].n_long_repeat_words, got[i].longest_repeat_words, got[i].kept) for i in (1, 2, 3)] == [(30, 15, False), (120, 60, False), (30, 15, True)]
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 200):
