@@ -50,11 +50,15 @@ def _(g):
 @plan("e3_partial_match")
 def _(g):
     """Parts' names against types' names of one brand, greedily by token overlap."""
-    part = g.table("part").filter("p_partkey < 400")
-    pred = part.select("p_brand", F.col("p_partkey").alias("pred"), F.split(F.lower("p_name"), " ").alias("a"))
-    gold = part.select("p_brand", F.col("p_partkey").alias("gold"), F.split(F.lower("p_name"), " ").alias("b"))
-    pairs = pred.join(gold, "p_brand").filter("pred <> gold").select("p_brand", "pred", "gold", T.jaccard(F.col("a"), F.col("b")).alias("score")).filter("score >= 0.5")
-    return S.greedy_match(pairs, "p_brand", 0.5).groupBy("p_brand").agg(F.count("*").alias("n"))
+    return partial_matches(g.table("part")).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+def partial_matches(part):
+    """Greedy pairs of one brand; only parts that share a token are compared, as all others have score 0."""
+    side = lambda key, names: part.select("p_brand", F.col("p_partkey").alias(key), F.split(F.lower("p_name"), " ").alias(names)).withColumn("token", F.explode(F.array_distinct(names)))
+    met = side("pred", "a").join(side("gold", "b"), ["p_brand", "token"]).filter("pred <> gold")
+    pairs = met.select("p_brand", "pred", "gold", T.jaccard(F.col("a"), F.col("b")).alias("score")).filter("score >= 0.5").distinct()
+    return S.greedy_match(pairs, "p_brand", 0.5)
 
 
 @plan("e5_degeneracy", """AND f AS (SELECT seq, relation, subject, object, CASE WHEN seq % 9 = 0 THEN subject ELSE object END AS o FROM kg_facts) SELECT relation, count(*) FILTER (subject = o) AS self_ref, count(*) FILTER (o IN ('v:0', 'v:1')) AS generic_node, round(count(*) FILTER (subject = o OR o IN ('v:0', 'v:1'))::DOUBLE / count(*), 6) AS rate FROM f GROUP BY relation""")

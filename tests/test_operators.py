@@ -138,3 +138,24 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"doc_key": "d", "sentences": [["Heart", "rate"], ["is", "high"]], "ner": [[["0", "1", "Metric"]], [["3", "3", "Generic"]]], "relations": [[["0", "1", "3", "3", "IS"]]]}\n')
     e, r = files.read_token_spans(spark, str(tmp_path / "s.jsonl"))
     assert [x.text for x in e.collect()] == ["Heart rate"] and [(x.subject, x.object) for x in r.collect()] == [("Heart rate", "high")]
+
+
+def test_partial_match_takes_every_part(spark):
+    """Against all pairs of a brand, with keys of 400 and more."""
+    from govgraph.plans.scoring_plans import partial_matches
+
+    names = ["red tin cup", "red tin jug", "blue oak box", "blue oak box lid", "one", "two", "red red tin"]
+    rows = [(390 + 7 * i, f"b{i % 2}", names[i % len(names)]) for i in range(16)]
+    left = []
+    for k, b, x in rows:
+        for k2, b2, y in rows:
+            one, two = set(x.split()), set(y.split())
+            if k != k2 and b == b2 and 2 * len(one & two) >= len(one | two):
+                left.append((-len(one & two) / len(one | two), b, k, k2))
+    used, want = set(), set()
+    for _, b, k, k2 in sorted(left):
+        if (b, "p", k) not in used and (b, "g", k2) not in used:
+            used |= {(b, "p", k), (b, "g", k2)}
+            want.add((b, k, k2))
+    got = partial_matches(spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string")).collect()
+    assert {(r.p_brand, r.pred, r.gold) for r in got} == want and max(k for _, k, _ in want) >= 400
