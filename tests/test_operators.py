@@ -159,3 +159,16 @@ def test_partial_match_takes_every_part(spark):
             want.add((b, k, k2))
     got = partial_matches(spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string")).collect()
     assert {(r.p_brand, r.pred, r.gold) for r in got} == want and max(k for _, k, _ in want) >= 400
+
+
+def test_alike_names_against_all_pairs(spark):
+    """Names that differ in their last character, at both ends or in the middle, and short ones."""
+    from difflib import SequenceMatcher
+
+    from govgraph.plans.text_plans import alike_names
+
+    names = ["supplier 0001", "supplier 0002", "supplier 0011", "xupplier 0001", "supplyer 0001", "abcd", "abxcd", "xabcd", "abcdx", "the long name of a firm", "xhe long name of a firx", "the long nameof a firm", "other"]
+    rows = [(i, i // len(names), x) for i, x in enumerate(names * 2)]
+    want = {(i, j) for i, m, x in rows for j, n, y in rows if i < j and m == n and round(SequenceMatcher(None, x, y).ratio(), 6) >= 0.9}
+    got = alike_names(spark.createDataFrame(rows, "s_suppkey long, s_nationkey long, s_name string")).collect()
+    assert {(r.s_suppkey, r.other) for r in got} == want and (0, 1) in want
