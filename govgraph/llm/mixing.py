@@ -108,7 +108,9 @@ def plan_mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = permuted(F.col("slots_before") + F.col("slot"), F.col("all_slots"))
     slots = dealt.select("sid", "pass", index.alias("block"), place.alias("place"))
     slots = slots.withColumn("shard", F.floor(F.col("place") / SHARD_SLOTS))
-    reads = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    # What is read is what the shards were dealt, so the draw is part of every plan.
+    per_shard = slots.groupBy("shard", "sid", "block").agg(F.count("*").alias("times"))
+    reads = per_shard.groupBy("sid", "block").agg(F.sum("times").alias("times"))
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_bucket.withColumn("bucket_start", F.coalesce(F.sum("words").over(before), F.lit(0)))

@@ -244,6 +244,21 @@ def test_mixing(spark):
     assert mixing.plan_mix(mixing.document_sizes(df.limit(0)))[0].count() == 0
 
 
+def test_mixing_draws_shards(spark, monkeypatch):
+    """The draw is in the plan of the words taken; shards are full but the last, and hold the sources in proportion."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    rows = [(i, "x " * 20, "ab"[i % 2]) for i in range(400)]
+    taken, slots = mixing.plan_mix(mixing.document_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert "shard" in taken._jdf.queryExecution().optimizedPlan().toString()
+    got = slots.collect()
+    assert sorted(r.place for r in got) == list(range(len(got))) and all(r.shard == r.place // 256 for r in got)
+    full = collections.Counter(r.shard for r in got)
+    assert len(full) > 4 and all(full[k] == 256 for k in list(range(len(full) - 1)))
+    share = sum(r.sid == 0 for r in got) / len(got)
+    counts = collections.Counter(r.shard for r in got if r.sid == 0)
+    assert all(abs(counts[k] - 256 * share) < 60 for k in range(len(full) - 1)) and len({counts[k] for k in range(len(full) - 1)}) > 1
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r.x for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("x")).collect()]
