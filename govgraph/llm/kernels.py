@@ -7,8 +7,10 @@ own), so memory follows ``BLOCK_BYTES`` and the longest text, never the Arrow ba
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,12 @@ def powers(base: np.uint64) -> Powers:
 
 
 class Prefix:
-    """Hashes of any slice of a sequence in constant time: prefix sums of x[i] * p**i modulo 2**64."""
+    """Hashes of any slice of a sequence in constant time: prefix sums of x[i] * p**i modulo 2**64.
+
+    Modulo a power of two there are sequences, of 1,024 values and more, that collide whatever the base.
+    So these hashes stand for content only in short slices, or where what they choose is compared later;
+    ``digests`` and ``Checked`` stand for content of any length.
+    """
 
     def __init__(self, values: np.ndarray, base: np.uint64 = P_BYTE):
         up, self.down = powers(base).upto(len(values) + 1)
@@ -109,6 +116,61 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+#: Slices above this many bytes are identified by a digest.
+SHORT = 256
+_PRIME, _BASE = (1 << 31) - 1, 1_103_515_277
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**62 modulo the Mersenne prime 2**31 - 1."""
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - np.uint64(_PRIME), x)
+
+
+class Checked(Prefix):
+    """Prefix with a second sum modulo a prime, for comparisons of slices of any length."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = P_WORD):
+        super().__init__(values, base)
+        n = len(values) + 1
+        self._up, self._down = _prime_powers(1 << max(16, n.bit_length()))
+        self._sums = np.zeros(n, np.uint64)
+        np.cumsum(_reduced(_reduced(mix(values) >> np.uint64(2)) * self._up[: n - 1]), out=self._sums[1:])
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        second = _reduced(_reduced(self._sums[end] - self._sums[start]) * self._down[start])
+        return mix(super().raw(start, end)) ^ (second * P_BYTE)
+
+
+@cache
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo the prime, by doubling."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, _PRIME)):
+        powers_ = np.ones(1, np.uint64)
+        while len(powers_) < n:
+            powers_ = np.concatenate([powers_, _reduced(powers_ * np.uint64(pow(base, len(powers_), _PRIME)))])
+        out.append(powers_)
+    return out[0], out[1]
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 8) -> np.ndarray:
+    """BLAKE2b of each slice, as rows of 64-bit numbers."""
+    raw = memoryview(np.ascontiguousarray(data)).cast("B")
+    wide = data.itemsize
+    found = b"".join(hashlib.blake2b(raw[lo * wide : hi * wide], digest_size=size).digest() for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(found, np.uint64).reshape(-1, size // 8)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word that stands for it: long words by digest."""
+    out = Prefix(data).of(starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        out[long] = digests(data, starts[long], ends[long])[:, 0]
+    return out
+
+
 def word_spans(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and, by row, the index of its first word."""
     n = len(b.data)

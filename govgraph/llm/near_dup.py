@@ -14,8 +14,9 @@ likeliest neighbour.  Where a loose component is still in parts, all classes out
 are compared with all of it, in blocks.  So copies cost a check each, not one for each pair.
 
 Null and empty texts and those without words have an empty set and no links.  Equal rows are one
-class.  Rows that share doc_id keep their own sets; a null doc_id is kept, and is in the component of
-its class without being the name of one.  Extra columns of any name are not read.
+class.  Rows that share doc_id keep their own sets.  A row with a null doc_id is in the component of
+its class, which it names only if no other id does; it is kept in that case alone.  Texts of any
+length are read whole.  An empty table gives an empty result.  Extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ TREES, DEPTH, BRANCHES = 4, 4, 2
 #: Below a large node, so many nodes in four have a second child: 1.75 * 0.8 is well above 1, so a shared path lives on at any depth.
 #: A pair at 0.8, with one sketch for all trees, is missed with probability 0.00006 at depth 4 and 0.00017 at depth 32.
 SECOND_CHILD = 3
+#: Levels that a large node goes down at once: few, as nodes left with one class are dropped before the next.
 SMALL_NODE, AGAIN, MAX_DEPTH = 12, 4, 32
 #: In a large node, classes at least so like its chosen member belong to its loose component; below the second they branch again.
 #: They are 20 apart: of a pair at 0.8, one cannot be above the second and the other below the first, but for the estimates' error.
@@ -55,7 +57,7 @@ def shingle_sets(b: K.Block, words: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its shingles; a shorter text is one shingle."""
     low = K.Block(b.first, K.LOWER[b.data], b.offs)
     starts, ends, first = K.word_spans(low)
-    prefix = K.Prefix(K.Prefix(low.data).of(starts, ends), K.P_WORD)
+    prefix = K.Prefix(K.word_hashes(low.data, starts, ends), K.P_WORD)
     last = K.row_of(first)
     to = np.minimum(np.arange(len(starts)) + words, first[1:][last])
     hashes = prefix.of(np.arange(len(starts)), to)
@@ -284,7 +286,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reachable), kept (doc_id = component_id), stays (true in one document of each component, equal rows alike).
     """
     rows = stash(_sketches(docs, words))
-    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("label"), F.first("sketch").alias("sketch"))
+    label = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")  # a null id comes last
+    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(label).alias("label"), F.first("sketch").alias("sketch"))
     classes = stash(least.withColumn("cid", F.monotonically_increasing_id()))
     pairs = stash(_candidates(classes, percent))
 
@@ -310,10 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = named.join(smallest, "root").select("digest", "smallest")
     alone = classes.select("digest", "label")
     of_class = alone.join(linked, "digest", "left").select("digest", F.coalesce("smallest", "label").alias("smallest"))
-    own = F.struct("doc_id", "mark")
-    result = rows.join(of_class, "digest", "left").withColumn("smallest", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(own))
+    result = rows.join(of_class, "digest", "left").withColumn("smallest", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(label))
     component = F.col("smallest.doc_id")
-    return result.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), own.eqNullSafe(F.col("smallest")).alias("stays"))
+    return result.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), label.eqNullSafe(F.col("smallest")).alias("stays"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

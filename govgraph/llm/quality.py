@@ -25,6 +25,7 @@ MAX_REPEAT_PERCENT = 20
 #: Limits of the repetition verdict: a passage counts from LONG_WORDS words on.  Its words are among those that the base
 #: counts, so its share must be below the base's to reject anything; one passage over 50 words is a copied paragraph.
 LONG_WORDS, MAX_LONG_PERCENT, MAX_LONGEST_WORDS = 10, 10, 50
+BLANK = b" \t\n\v\f\r"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -90,7 +91,7 @@ def repeats(word_hash: np.ndarray, first: np.ndarray, least: int) -> tuple[np.nd
     _, ids = np.unique(K.mix(word_hash + row.astype(np.uint64) * K.P_BYTE), return_inverse=True)
     sa = suffix_array(ids, ends)
     pair = np.flatnonzero(ids[sa[1:]] == ids[sa[:-1]])
-    hashes = K.Prefix(word_hash, K.P_WORD)
+    hashes = K.Checked(word_hash)
     a, b = sa[pair], sa[pair + 1]
     enough = np.flatnonzero((a + least <= ends[a]) & (b + least <= ends[b]))
     enough = enough[hashes.raw(a[enough], a[enough] + least) == hashes.raw(b[enough], b[enough] + least)]
@@ -110,25 +111,19 @@ def covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _dup_lines(b: K.Block, starts: np.ndarray, hashes: K.Prefix) -> np.ndarray:
-    cuts = np.flatnonzero(b.data == 10)
-    lo = np.unique(np.r_[b.offs[:-1][np.diff(b.offs) > 0], cuts + 1])
-    lo = lo[lo < len(b.data)]
-    row = np.searchsorted(b.offs, lo, "right") - 1
-    hi = np.r_[lo[1:], len(b.data)]
-    hi = np.where(b.data[hi - 1] == 10, hi - 1, hi)
-    words = np.searchsorted(starts, hi) - np.searchsorted(starts, lo)
-    lo, hi, row = lo[words > 0], hi[words > 0], row[words > 0]
-    key = K.mix(hashes.of(lo, hi) + row.astype(np.uint64) * K.P_WORD)
-    _, kept = np.unique(key, return_index=True)
-    return np.bincount(row, minlength=b.rows) - np.bincount(row[kept], minlength=b.rows)
+def _dup_lines(b: K.Block) -> np.ndarray:
+    """Lines with a word that equal an earlier one of their row, compared as they are."""
+    data, out = b.data.tobytes(), np.zeros(b.rows, np.int64)
+    for row, (lo, hi) in enumerate(zip(b.offs[:-1].tolist(), b.offs[1:].tolist(), strict=True)):
+        lines = [line for line in data[lo:hi].split(b"\n") if line.strip(BLANK)]
+        out[row] = len(lines) - len(set(lines))
+    return out
 
 
 def measure(b: K.Block) -> dict[str, np.ndarray]:
     starts, ends, first = K.word_spans(b)
     n_words = np.diff(first)
-    hashes = K.Prefix(b.data)
-    word_hash = hashes.of(starts, ends)
+    word_hash = K.word_hashes(b.data, starts, ends)
     points = (b.data & 0xC0) != 0x80
     at, length = repeats(word_hash, first, WINDOW_WORDS)
     row = K.row_of(first)
@@ -143,7 +138,7 @@ def measure(b: K.Block) -> dict[str, np.ndarray]:
         "n_words": n_words,
         "word_chars": K.row_sums(points & K.WORD_BYTE[b.data], b.offs),
         "n_symbols": K.row_sums(_SYMBOL[b.data], b.offs),
-        "n_dup_lines": _dup_lines(b, starts, hashes),
+        "n_dup_lines": _dup_lines(b),
         "n_repeat_words": n_repeat,
         "n_long_repeat_words": n_long,
         "longest_repeat_words": longest,

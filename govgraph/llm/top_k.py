@@ -63,12 +63,15 @@ def best_of(queries: tuple, rows: tuple, k: int) -> Iterator[tuple[int, int, int
     exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2.0**53
     x, q = (x.astype(np.float64), q.astype(np.float64)) if exact else (x, q)
     norm = (x.astype(np.float64) ** 2).sum(axis=1)
-    table, qfar = np.ascontiguousarray(far.T, np.float32), qfar.astype(np.float32)
+    table = np.ascontiguousarray(far.T)
+    farthest = table.max(axis=0, initial=0)
     for i in range(len(qrow)):
-        least = np.abs(table - qfar[i][:, None]).max(axis=0).astype(np.float64)
+        least = np.abs(table - qfar[i][:, None]).max(axis=0)
         qnorm = float((q[i].astype(np.float64) ** 2).sum())
+        # Distances are off by at most a few units in the last place of the larger one: never below the true score.
+        least = np.maximum(least - 1e-12 * (farthest + qfar[i].max(initial=0)), 0)
         bound = (qnorm + norm - least * least) / 2
-        bound += 1e-5 * (qnorm + norm) + 1  # room for rounding in single precision: never below the true score
+        bound += 1e-12 * (qnorm + norm) + 1
         bound[row == qrow[i]] = -np.inf
         best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
         some = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))

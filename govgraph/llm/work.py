@@ -17,9 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    """The folder in spark.checkpoint.dir; where it is unset, a folder of this machine, but only in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='govgraph-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
