@@ -1,13 +1,16 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved until its parts are short; each part is encoded on its own, and neighbours are
-joined by encoding again a window around their seam.  A cut is safe where a letter, digit or ASCII
-mark is followed by white space: no match of the split pattern holds white space after anything
-else, and what the pattern matches before such a place never depends on what follows it.  The window
-grows on either side until it meets a safe cut or the end of the part; tokens outside are final, so
-joining is associative with the empty text as its unit.  Decoding concatenates up the same tree.
-
-Null and empty texts have no tokens.  Memory follows the longest text.  Rows are independent.
+A text is halved until its parts are a few characters; each part is split by the pattern, and every
+match is merged byte by byte in the order of ranks.  Neighbours are joined by encoding again a window
+around their seam that grows on both sides until the tokens outside are provably final.  That is so
+at a safe cut: where a letter, digit or ASCII mark is followed by white space.  No match of the split
+pattern holds white space after anything else, and what the pattern matches before such a place never
+depends on what follows it.  So joining is associative, with the empty text as its unit.  Decoding
+concatenates up the same tree.
+
+Null and empty texts have no tokens.  Texts of any length are encoded whole, in memory that follows
+the longest one; rows are independent, repeated ones too, and an empty table gives an empty result.
+Extra columns of any name are not read unless kept; a kept column may not have the name of a result.
 """
 
 from __future__ import annotations
@@ -16,14 +19,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark.sql import DataFrame
 
-LEAF_CHARS = 16384
-FIRST_WINDOW = 64
+LEAF_CHARS, LEAF_TOKENS = 256, 64
+FIRST_WINDOW = 16
+#: Matches remembered by a process, short ones only: some dozen MB.
+REMEMBERED, SHORT_MATCH = 1 << 18, 32
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -39,40 +45,85 @@ class Codec:
         import public_tokenizers
 
         with open(ranks if "/" in ranks else public_tokenizers.path(ranks), "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.length = np.zeros(max(table.values()) + 1, np.int64)
-        for token, rank in table.items():
-            self.length[rank] = len(token)
-
-    def leaf(self, text: str) -> np.ndarray:
-        return self.own.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.spelled = [b""] * (max(self.rank.values()) + 1)
+        for token, rank in self.rank.items():
+            self.spelled[rank] = token
+        self.length = np.array([len(token) for token in self.spelled], np.int64)
+        self.remembered: dict[str, tuple[int, ...]] = {}
+
+    def merged(self, match: bytes) -> list[int]:
+        """Of all neighbours that make up a token, those of the lowest rank (the first such) merge, until none do."""
+        rank = self.rank
+        if match in rank:
+            return [rank[match]]
+        n = len(match)
+        ends = list(range(1, n + 1))  # where the part that begins here ends; 0 once it is merged into the one before
+        starts = list(range(-1, n))  # where the part before the place begins
+        waiting = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(match[i : i + 2])) is not None]
+        heapify(waiting)
+        while waiting:
+            _, at, end = heappop(waiting)
+            middle = ends[at]
+            if not middle or middle >= end or ends[middle] != end:
+                continue  # one of the two has been merged since
+            ends[at], ends[middle] = end, 0
+            starts[end] = at
+            if end < n and (r := rank.get(match[at : ends[end]])) is not None:
+                heappush(waiting, (r, at, ends[end]))
+            if at and (r := rank.get(match[starts[at] : end])) is not None:
+                heappush(waiting, (r, starts[at], end))
+        out, at = [], 0
+        while at < n:
+            out.append(rank[match[at : ends[at]]])
+            at = ends[at]
+        return out
+
+    def leaf(self, text: str) -> list[int]:
+        known, new = self.remembered.get, self._new
+        return [i for match in self.split(text) for i in known(match) or new(match)]
+
+    def _new(self, match: str) -> tuple[int, ...]:
+        ids = tuple(self.merged(match.encode()))
+        if len(match) <= SHORT_MATCH:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            self.remembered[match] = ids
+        return ids
 
     def encode(self, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
-        return self._range(text, 0, len(text), leaf_chars)
+        return np.array(self._range(text, 0, len(text), leaf_chars), np.uint32)
 
-    def _range(self, text: str, start: int, end: int, leaf_chars: int) -> np.ndarray:
+    def _range(self, text: str, start: int, end: int, leaf_chars: int) -> list[int]:
         if end - start <= leaf_chars:
             return self.leaf(text[start:end])
         middle = (start + end) // 2
         return self.join(text, start, middle, end, self._range(text, start, middle, leaf_chars), self._range(text, middle, end, leaf_chars))
 
-    def join(self, text: str, start: int, middle: int, end: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
         """Tokens of text[start:end] from those of its two parts."""
+        if not left or not right or _safe(text, middle):
+            return left + right
         lo, hi = _cut_before(text, start, middle), _cut_after(text, middle, end)
-        keep_left = self._tokens(left[::-1], len(text[lo:middle].encode()))
-        keep_right = self._tokens(right, len(text[middle:hi].encode()))
-        return np.concatenate([left[: len(left) - keep_left], self.leaf(text[lo:hi]), right[keep_right:]])
-
-    def _tokens(self, ids: np.ndarray, n_bytes: int) -> int:
-        """Number of leading tokens that make up the first n_bytes."""
-        return int(np.searchsorted(np.cumsum(self.length[ids]), n_bytes)) + 1 if n_bytes else 0
-
-    def decode(self, ids: np.ndarray, leaf_tokens: int = LEAF_CHARS) -> bytes:
-        if len(ids) <= leaf_tokens:
-            return self.own.decode_bytes(ids.tolist())
-        middle = len(ids) // 2
-        return self.decode(ids[:middle], leaf_tokens) + self.decode(ids[middle:], leaf_tokens)
+        before, after = len(text[lo:middle].encode()), len(text[middle:hi].encode())
+        keep, skip = len(left), 0
+        while before > 0:
+            keep -= 1
+            before -= len(self.spelled[left[keep]])
+        while after > 0:
+            after -= len(self.spelled[right[skip]])
+            skip += 1
+        return left[:keep] + self.leaf(text[lo:hi]) + right[skip:]
+
+    def decode(self, ids: np.ndarray, leaf_tokens: int = LEAF_TOKENS) -> bytes:
+        return self._spelled(ids.tolist(), 0, len(ids), leaf_tokens)
+
+    def _spelled(self, ids: list[int], start: int, end: int, leaf_tokens: int) -> bytes:
+        if end - start <= leaf_tokens:
+            return b"".join([self.spelled[i] for i in ids[start:end]])
+        middle = (start + end) // 2
+        return self._spelled(ids, start, middle, leaf_tokens) + self._spelled(ids, middle, end, leaf_tokens)
 
 
 def _safe(text: str, at: int) -> bool:
@@ -85,7 +136,7 @@ def _cut_before(text: str, start: int, middle: int) -> int:
     while seen > start + 1:
         low = max(start + 1, middle - size)
         for at in range(seen - 1, low - 1, -1):
-            if _safe(text, at):
+            if text[at] in " \n\t\r" and _safe(text, at):
                 return at
         seen, size = low, size * 2
     return start
@@ -96,7 +147,7 @@ def _cut_after(text: str, middle: int, end: int) -> int:
     while seen < end:
         high = min(end, middle + size)
         for at in range(seen, high):
-            if _safe(text, at):
+            if text[at] in " \n\t\r" and _safe(text, at):
                 return at
         seen, size = max(seen, high), size * 2
     return end

@@ -1,13 +1,16 @@
 """Byte-level BPE, token counts, quality rules, chunks and repeats against plain versions."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
 
 from govgraph.llm import bpe, chunk_dedup, kernels, quality, suffix_dedup, token_counts
 
@@ -25,30 +28,46 @@ def odd(spark):
     return spark.createDataFrame(odd_rows(), "doc_id long, text string, n_words string")
 
 
+@functools.cache
+def library(ranks):
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(ranks).rank, special_tokens={})
+
+
 @pytest.mark.parametrize("leaf", [1, 2, 5, 9, 40])
 def test_bpe_equals_library(leaf):
     c, rng = bpe.codec(bpe.RANKS), random.Random(leaf)
     for _ in range(400):
         text = "".join(rng.choice("ab c'sre  \n\t é漢字🙂1 2!?'ll \x1c") for _ in range(rng.randint(0, 60)))
         ids = c.encode(text, leaf)
-        assert ids.tolist() == c.own.encode_ordinary(text)
+        assert ids.tolist() == library(bpe.RANKS).encode_ordinary(text)
         assert c.decode(ids, 3) == text.encode()
 
 
+def test_bpe_of_any_character_and_length():
+    """All code points, each between a letter and a digit; and matches too long to remember."""
+    c, plain = bpe.codec(bpe.RANKS), library(bpe.RANKS)
+    for lo in range(0, 0x110000, 4096):
+        text = "".join(f"a{chr(i)}1 {chr(i)}{chr(i)}b" for i in range(lo, lo + 4096) if not 0xD800 <= i < 0xE000)
+        assert c.encode(text).tolist() == plain.encode_ordinary(text)
+    rng = random.Random(0)
+    for text in ("x" * 50_000, "".join(rng.choice("abcdeé漢") for _ in range(20_000)), " " * 3000 + "a", "".join(rng.choice("!?'-") for _ in range(9000))):
+        assert c.encode(text).tolist() == plain.encode_ordinary(text)
+
+
 def test_bpe_join_is_associative():
     c, text = bpe.codec(bpe.RANKS), "one two, three's four\n\n  five 66 seven"
-    whole = c.own.encode_ordinary(text)
+    whole = library(bpe.RANKS).encode_ordinary(text)
     for i in range(len(text)):
         for j in range(i, len(text), 5):
             left = c.join(text, 0, i, j, c.leaf(text[:i]), c.leaf(text[i:j]))
-            assert c.join(text, 0, j, len(text), left, c.leaf(text[j:])).tolist() == whole
+            assert c.join(text, 0, j, len(text), left, c.leaf(text[j:])) == whole
 
 
 def test_bpe_rows(odd, spark):
     got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(odd, digests=True).collect()]
-    c, want = bpe.codec(bpe.RANKS), []
+    c, want = library(bpe.RANKS), []
     for doc_id, text, _ in odd_rows():
-        ids = c.own.encode_ordinary(text or "")
+        ids = c.encode_ordinary(text or "")
         want.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert bpe.encode_documents(spark.createDataFrame([], EMPTY)).count() == 0
@@ -61,9 +80,9 @@ def test_attribution_rules(rule, counts):
 
 
 def test_token_counts(odd):
-    c = bpe.codec(token_counts.RANKS)
+    c = library(token_counts.RANKS)
     for r in token_counts.token_counts(odd, keep=("doc_id", "text")).collect():
-        assert r.n_tokens == len(c.own.encode_ordinary(r.text or "")) == sum(r.section_tokens)
+        assert r.n_tokens == len(c.encode_ordinary(r.text or "")) == sum(r.section_tokens)
 
 
 def plain_quality(text):
