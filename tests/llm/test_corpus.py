@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,49 @@ def test_near_duplicates(spark, small, block, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), groups.find(r.doc_id), groups.find(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_null_ids(spark):
+    rows = [(None, "one text that is held"), (5, "one text that is held"), (7, "one text that is held"), (None, "alone without an id"), (None, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted(map(repr, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(repr, [(None, 5, False), (5, 5, True), (7, 5, False), (None, None, True), (None, None, True)]))
+    assert sum(r.stays for r in got) == 3
+
+
+def alternating(n, a, b):
+    """Two sequences that sums modulo a power of two cannot tell apart: Thue and Morse's and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_content_identity(spark, n):
+    """Texts that collide in polynomial hashes modulo 2 ** 64 are different lines and different shingles."""
+    x, y = alternating(n, "a", "b")
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: x, 2: y, 3: ""}
+    got = near_dup.near_duplicates(docs, words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_recall_in_a_crowd(spark, monkeypatch):
+    """One family of variants, all in large nodes: of the pairs in each band of similarity, how many share a component."""
+    monkeypatch.setattr(near_dup, "SMALL_NODE", 3)
+    rng, vocabulary = random.Random(9), [f"t{i}" for i in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 8, 20, 40])):
+            text[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(text)))
+    sets, bands = {d: sets_of(t, 2) for d, t in rows}, collections.defaultdict(list)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 100 * len(x & y) >= 80 * len(x | y):
+                bands[100 * len(x & y) // len(x | y) // 5].append(got[a] == got[b])
+    assert len(bands) >= 3 and all(np.mean(found) >= 0.99 for found in bands.values())
+
+
 def test_near_duplicates_at_the_last_depth(spark, monkeypatch):
     """A node that is still large at MAX_DEPTH is compared exactly, also what is unlike its chosen member."""
     monkeypatch.setattr(near_dup, "SMALL_NODE", 2)
@@ -275,10 +319,36 @@ def test_language(spark):
     by = {r.doc_id: r for r in language.identify(odd, model).collect()}
     assert [by[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and by[4].lang_pred in model.languages
     assert all(0 <= r.score <= 1 for r in by.values())
+    repeated = odd.union(odd).withColumn("held_out", F.lit("clash")).withColumn("n", F.lit(0))
+    assert collections.Counter((r.doc_id, r.lang_pred, r.held_out) for r in language.identify(repeated, model, keep=("doc_id", "held_out")).collect()) == collections.Counter({(i, by[i].lang_pred, "clash"): 2 for i in by})
+    assert language.identify(odd.limit(0), model).count() == 0
+    unnamed = spark.createDataFrame([(None, "un chien dort", "fr"), (None, "a dog sleeps", "en")], "doc_id long, text string, lang string")
+    assert language.learn(unnamed).languages == ["en", "fr"]
     assert language.learn(docs.limit(0)) is None
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_against_plain_kernel(spark):
+    """Kernel, landmarks and ridge regression written out over sets of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.filter("lang is not null and text is not null").orderBy("doc_id").collect() if re.search("[a-z]", r.text)]
+    held = lambda t: {t.encode().lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    sets = [held(t) for t, _ in rows]
+    table = pa.array([t for t, _ in rows], pa.string())
+    model = language.Model([x.astype(np.int32) for b in language.K.blocks(table) for x in language.grams(b)], [x for _, x in rows], 40)
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    marks = [sets[i] for i in model.chosen]
+    assert {rows[i][1] for i in model.chosen} == set(model.languages) and len(marks) == 40
+    value, vector = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    root = vector / np.sqrt(value)
+    z = np.c_[np.array([[kernel(x, y) for y in marks] for x in sets]) @ root, np.ones(len(sets))]
+    y = np.array([[1.0 if lang == one else -1.0 for one in model.languages] for _, lang in rows])
+    want = z @ np.linalg.solve(z.T @ z + language.RIDGE * np.eye(41), z.T @ y)
+    got = np.concatenate([model.scores(b) for b in language.K.blocks(table)])
+    assert np.abs(got - want).max() < 0.01
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).mean() > 0.99
+
+
 def test_fold(spark):
     got = spark.createDataFrame([(17,)], "doc_id long").select(F.crc32(F.col("doc_id").cast("string")).alias("c")).first().c
     assert got == zlib.crc32(b"17")
@@ -306,6 +376,23 @@ def test_top_k(spark, block, monkeypatch):
     assert top_k.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_mixed_magnitudes():
+    """Exact also where rows, and so pivots, are of very different lengths in few dimensions."""
+    rng = np.random.default_rng(5)
+    for dim in (1, 2, 3, 8):
+        x = rng.integers(-300, 300, (1500, dim)) * np.where(rng.random((1500, 1)) < 0.5, 1, 10 ** rng.integers(4, 7, (1500, 1)))
+        pivots = x[rng.choice(1500, 32, replace=False)].astype(float)
+        far = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2))
+        some = np.arange(0, 1500, 10)
+        got = collections.defaultdict(list)
+        for row, _, vec, score in top_k.best_of((some, some, x[some], far[some]), (np.arange(1500), np.arange(1500), x, far), 5):
+            got[row].append((vec, score))
+        for i in some.tolist():
+            score = x @ x[i]
+            want = [(int(j), int(score[j])) for j in np.lexsort((np.arange(1500), -score)) if j != i][:5]
+            assert got[i] == want
+
+
 def test_pipeline(spark):
     """Each stage against a plain version on its own input."""
     rng, words = random.Random(8), [f"word{i}" for i in range(400)]
