@@ -12,16 +12,21 @@ or another.  Strings are judged on the input and never cross texts.
    follows the anchor and, reversed, of what precedes it, by multikey quicksort down to
    ``SHALLOW`` bytes and a blind trie for each group that is still tied.  A string repeats where two
    contexts agree far enough on both sides, which the common prefixes along both arrays tell.
-   Under an anchor with more than ``CROWD`` contexts the strings are counted by 128-bit hash
-   instead, with map-side combining: no task holds a crowd.
+4. A group of more contexts than ``AT_ONCE`` is parted first, by the bytes next to the anchor: the
+   places where its strings may begin are halved, the strings of a half share more bytes around the
+   anchor, and contexts that differ in those go to different groups.  Contexts that are equal as far
+   as a half's strings reach are repeated there, and one of them goes on.  At a single place nothing
+   can be left, so every group gets small, and no task holds more than that.
 
 Null and empty texts and those under ``length`` bytes lose nothing.  Equal rows are copies of each
-other and lose all (from ``length`` bytes on).  Extra columns of any name are not read.
+other and lose all (from ``length`` bytes on).  Texts of any length are read whole, and an empty
+table gives an empty result.  Extra columns of any name are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +40,8 @@ from .work import stash
 
 LENGTH, GRAM = 200, 48
 SHALLOW = 32
-#: Contexts that one task may hold for an anchor: about 6 MB.
-CROWD = 1 << 14
-_SECOND = np.uint64(0xA0761D6478BD642F)
+#: Contexts of a group that are sorted at once: about 1 MB.
+AT_ONCE = 1 << 12
 
 
 def sliding(x: np.ndarray, w: int) -> np.ndarray:
@@ -217,49 +221,84 @@ def repeated_starts(group: np.ndarray, before: list[bytes], after: list[bytes],
     return np.concatenate(hits), np.concatenate(steps)
 
 
+GROUPED = "group long, n long, low int, high int, at int, bytes binary, doc_id long, mark long, start int"
+
+
 def _contexts(packed: DataFrame, length: int, gram: int) -> DataFrame:
-    """Of the wanted ranges of each text: anchor, context, place of the anchor, j range and bytes; or hashes of strings in a crowd."""
+    """Of the wanted ranges of each text: anchor (group), its contexts (n), where strings may begin (low to high bytes
+    before the anchor), place of the anchor in the bytes, the bytes, and where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            names = ["anchor", "context", "crowd", "at", "bytes", "doc_id", "mark", "start", "h1", "h2"]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            out: list[list] = [[] for _ in names]
-
-            def put(*values):
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-
             for i in range(len(batch)):
                 doc_id, mark = batch.column("doc_id")[i].as_py(), batch.column("mark")[i].as_py()
                 data = unpack.decompress(batch.column("packed")[i].as_py())
-                raw = np.frombuffer(data, np.uint8)
-                prefix, second = K.Prefix(raw), None
+                prefix = K.Prefix(np.frombuffer(data, np.uint8))
+                out = []
                 for r in batch.column("ranges")[i].as_py():
                     lo, hi = r["lo"], r["lo"] + r["n"]
-                    if r["crowd"]:
-                        second = second or K.Prefix(raw, _SECOND)
-                        s = np.arange(lo, hi + 1)
-                        for a, h1, h2 in zip(s.tolist(), prefix.of(s, s + length).view(np.int64).tolist(), second.of(s, s + length).view(np.int64).tolist(), strict=True):
-                            put(None, None, True, None, None, doc_id, mark, a, h1, h2)
-                    else:
-                        # The anchor: the least gram that all strings of the range hold.
-                        s = np.arange(hi, lo + length - gram + 1)
-                        at = int(s[np.argmin(K.mix(prefix.raw(s, s + gram)))])
-                        put(r["anchor"], r["context"], False, at - lo, data[lo : hi + length], doc_id, mark, lo, None, None)
-                if len(out[0]) > 20000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-                    out[:] = [[] for _ in names]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-
-    return packed.mapInArrow(run, "anchor long, context long, crowd boolean, at int, bytes binary, doc_id long, mark long, start int, h1 long, h2 long")
+                    # The anchor: the least gram that all strings of the range hold.
+                    s = np.arange(hi, lo + length - gram + 1)
+                    at = int(s[np.argmin(K.mix(prefix.raw(s, s + gram)))])
+                    out.append((r["anchor"], r["contexts"], 0, length - gram, at - lo, data[lo : hi + length], doc_id, mark, lo))
+                yield _grouped(out)
+
+    return packed.mapInArrow(run, GROUPED)
+
+
+_GROUPED = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32())])
+
+
+def _grouped(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_GROUPED)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _GROUPED, strict=True)], schema=_GROUPED)
+
+
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Each context once for each half of its group's places that it has strings in, cut to what those reach, with a digest of that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, digests = [], []
+            for group, _, low, high, at, data, doc_id, mark, start in zip(*(c.to_pylist() for c in batch.select(_GROUPED.names).columns), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(a, at - (len(data) - length)), min(b, at)
+                    if first > last:
+                        continue
+                    shared = data[at - a : at + length - b]  # what all strings of the half hold
+                    part = hashlib.blake2b(shared, digest_size=8, key=struct.pack("qi", group, a)).digest()
+                    own = data[at - last : at + length - first]
+                    out.append((struct.unpack("q", part)[0], None, a, b, last, own, doc_id, mark, start + at - last))
+                    digests.append(hashlib.blake2b(own, digest_size=16).digest())
+            yield pa.record_batch([*_grouped(out).columns, pa.array(digests, pa.binary())], names=[*_GROUPED.names, "own"])
+
+    return rows.mapInArrow(run, f"{GROUPED}, own binary")
+
+
+def _parted(rows: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(groups that are small enough to sort, ranges found repeated on the way): doc_id, mark, lo, hi."""
+    small, whole = [rows.filter(F.col("n") <= AT_ONCE)], []
+    large = rows.filter(F.col("n") > AT_ONCE)
+    place = F.struct("doc_id", "mark", "start")
+    like = ["group", "at", "own"]
+    while not large.isEmpty():
+        halves = stash(_halves(large, length))
+        alike = halves.groupBy(*like).agg(F.count("*").alias("times"), F.min(place).alias("chosen"))
+        sizes = alike.groupBy("group").agg(F.count("*").alias("contexts"))
+        met = stash(halves.drop("n").join(alike, like).join(sizes, "group").filter("times > 1 or contexts > 1"))
+        whole.append(met.filter("times > 1").select("doc_id", "mark", F.col("start").alias("lo"), (F.col("start") + F.length("bytes") - length).alias("hi")))
+        left = met.filter((F.col("contexts") > 1) & place.eqNullSafe(F.col("chosen"))).withColumnRenamed("contexts", "n").select(*_GROUPED.names)
+        small.append(left.filter(F.col("n") <= AT_ONCE))
+        large = left.filter(F.col("n") > AT_ONCE)
+    return small, whole
 
 
 def _resolve(contexts: DataFrame, length: int) -> DataFrame:
-    """context, lo, hi: starts, relative to the context, of strings that another context of the anchor holds.
+    """doc_id, mark, lo, hi: starts of strings that another context of the group holds.
 
-    The anchors are dealt to partitions whole; a task takes them in order, some thousand contexts at once.
+    The groups are dealt to partitions whole; a task takes them in order, some thousand contexts at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +306,10 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
             group = np.unique([r[0] for r in rows], return_inverse=True)[1]
-            at = np.array([r[2] for r in rows], np.int64)
-            size = np.array([len(r[3]) for r in rows], np.int64)
-            before = [r[3][: r[2]][::-1] for r in rows]
-            after = [r[3][r[2] :] for r in rows]
+            at = np.array([r[1] for r in rows], np.int64)
+            size = np.array([len(r[2]) for r in rows], np.int64)
+            before = [r[2][: r[1]][::-1] for r in rows]
+            after = [r[2][r[1] :] for r in rows]
             # Starts 0 .. size - length of a context lie at .. at - (size - length) bytes before the anchor.
             who, j = repeated_starts(group, before, after, at - (size - length), at, length)
             start = at[who] - j
@@ -280,11 +319,12 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(who)] - 1 if len(who) else first
             pick = lambda k: [rows[i][k] for i in who[first]]
-            return pa.record_batch([pa.array(pick(0), pa.int64()), pa.array(pick(1), pa.int64()), pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["anchor", "context", "lo", "hi"])
+            own = np.array(pick(5), np.int64)
+            return pa.record_batch([pa.array(pick(3), pa.int64()), pa.array(pick(4), pa.int64()), pa.array((own + start[first]).astype(np.int32)), pa.array((own + start[last]).astype(np.int32))], names=["doc_id", "mark", "lo", "hi"])
 
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "at", "bytes")), strict=True)
-            if len(held) > 4000:  # all but the last anchor, which may go on
+            held += zip(*(batch.column(c).to_pylist() for c in ("group", "at", "bytes", "doc_id", "mark", "start")), strict=True)
+            if len(held) > 4000:  # all but the last group, which may go on
                 edge = len(held)
                 while edge and held[edge - 1][0] == held[-1][0]:
                     edge -= 1
@@ -294,8 +334,8 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = contexts.select("anchor", "context", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, context long, lo int, hi int")
+    dealt = contexts.select("group", "at", "bytes", "doc_id", "mark", "start").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "doc_id long, mark long, lo int, hi int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -325,23 +365,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     classes = classes.join(several, "anchor").filter("n > 1 or contexts > 1")
     met = shared.join(classes, ["anchor", "context"])
     mark, lo, more = F.shiftrightunsigned("at", 40), F.shiftright("at", 8).bitwiseAND(0xFFFFFFFF), F.col("at").bitwiseAND(255)
-    met = met.select("anchor", "context", "doc_id", mark.cast("long").alias("mark"), lo.cast("int").alias("lo"), more.cast("int").alias("more"), (F.col("n") > 1).alias("repeats"), ((F.col("contexts") > 1) & (own == F.col("chosen"))).alias("asked"), (F.col("contexts") > CROWD).alias("crowd"))
+    met = met.select("anchor", "contexts", "doc_id", mark.cast("long").alias("mark"), lo.cast("int").alias("lo"), more.cast("int").alias("more"), (F.col("n") > 1).alias("repeats"), ((F.col("contexts") > 1) & (own == F.col("chosen"))).alias("asked"))
     met = stash(met)
 
-    asked = met.filter("asked").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "context", "lo", F.col("more").alias("n"), "crowd")).alias("ranges"))
+    asked = met.filter("asked").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "contexts", "lo", F.col("more").alias("n"))).alias("ranges"))
     asked = asked.withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
     texts = _packed(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("doc_id", "mark", "packed", "ranges")
-    contexts = stash(_contexts(texts, length, gram))
-
-    # A context found by itself (one occurrence) takes its own rows back by (anchor, context).
-    alone = contexts.filter("not crowd").select("anchor", "context", "doc_id", "mark", "start")
-    found = _resolve(contexts.filter("not crowd"), length).join(alone, ["anchor", "context"])
-    found = found.select("doc_id", "mark", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    strings = contexts.filter("crowd").select("doc_id", "mark", "start", "h1", "h2")
-    common = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    crowded = strings.join(common, ["h1", "h2"]).select("doc_id", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    whole = met.filter("repeats").select("doc_id", "mark", "lo", (F.col("lo") + F.col("more")).alias("hi"))
-    every = whole.unionByName(found).unionByName(crowded)
+    small, found = _parted(stash(_contexts(texts, length, gram)), length)
+    together = small[0]
+    for more_ in small[1:]:
+        together = together.unionByName(more_)
+    every = met.filter("repeats").select("doc_id", "mark", "lo", (F.col("lo") + F.col("more")).alias("hi"))
+    for ranges in (_resolve(together, length), *found):
+        every = every.unionByName(ranges)
     return every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 

@@ -145,10 +145,11 @@ def plain_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("crowd", [1 << 14, 2])
-def test_repeats(spark, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    rng = random.Random(crowd)
+@pytest.mark.parametrize("at_once", [1 << 12, 7, 2, 1])
+def test_repeats(spark, at_once, monkeypatch):
+    """Whether groups are sorted as they are or parted first, to any depth."""
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
     passages = ["".join(rng.choice("abcdeé \n") for _ in range(rng.randint(10, 120))) for _ in range(8)]
     rows = []
     for i in range(50):
@@ -157,7 +158,7 @@ def test_repeats(spark, crowd, monkeypatch):
     rows += [(100, None), (101, ""), (102, "a" * 500), (103, "x" + "a" * 90), rows[5], rows[5]]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, EMPTY), 40, 12, digests=True).collect()
     assert sorted(map(tuple, got), key=repr) == plain_repeats(rows, 40)
-    if crowd > 2:
+    if at_once > 2:
         assert suffix_dedup.remove_repeats(spark.createDataFrame([], EMPTY), digests=True).count() == 0
 
 
