@@ -12,7 +12,8 @@ Permutations are swap-or-not shuffles: exact on any domain size, computed by val
 Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating.  Together they get 150 %
 of all words; none more than twice its own.  Texts that are null or empty have size 0 and take 0.
 Rows that share doc_id, or repeat entirely, count each on its own; ties in the order are between
-equal rows.  Extra columns are not read.
+equal rows.  A null doc_id is an id like others.  A text of any length is counted whole and spans as
+many blocks as it takes.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SHARE, MOST_PASSES = 1.5, 2
 #: Words of a block: at most the first; fewer for a small source, so that it has about BLOCKS_LEAST.
 BLOCK_WORDS, BLOCKS_LEAST = 512, 1024
 ROUNDS, SEED = 24, 20240607
-SLOTS_AT_ONCE = 1 << 14
+SLOTS_AT_ONCE, MOST_TASKS = 1 << 14, 1 << 12
 SHARD_SLOTS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,7 +100,8 @@ def plan_mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_AT_ONCE)))
     dealt = sources.filter("n_slots > 0").select("sid", "n_blocks", "n_slots", "slots_before", "all_slots", chunk.alias("chunk"))
-    dealt = dealt.repartition(F.col("sid"), F.col("chunk"))
+    chunks = sources.agg(F.sum(F.ceil(F.col("n_slots") / SLOTS_AT_ONCE))).first()[0]
+    dealt = dealt.repartition(int(min(max(chunks or 1, 1), MOST_TASKS)), F.col("sid"), F.col("chunk"))
     lo = F.col("chunk") * SLOTS_AT_ONCE
     hi = F.least(lo + SLOTS_AT_ONCE, F.col("n_slots")) - 1
     dealt = dealt.select("sid", "n_blocks", "slots_before", "all_slots", F.explode(F.sequence(lo, hi)).alias("slot"))
@@ -118,7 +120,8 @@ def plan_mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_start", "sid", "source_size", "target", "block_words")
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    # Buckets and blocks grow with the input, so neither is broadcast.
+    placed = placed.join(starts.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.withColumn("start", F.col("start") + F.col("bucket_start"))
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "sid", "block_words", "start")
 
@@ -127,7 +130,7 @@ def plan_mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = placed.filter("size > 0").withColumn("block", F.explode(spans))
     words = F.least(end, (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("start"), F.col("block") * F.col("block_words"))
     pieces = pieces.select("doc_id", "source", "size", "source_size", "target", "sid", "block", "start", words.alias("words"))
-    read = pieces.join(reads, ["sid", "block"], "left")
+    read = pieces.join(reads.hint("merge"), ["sid", "block"], "left")
     taken = read.groupBy("doc_id", "source", "size", "source_size", "target", "sid", "start").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -144,13 +147,14 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each 0, 1 or 2 times: its share of words taken, rounded by a hash of its id without bias.
 
-    Rows equal in doc_id and text share what they take.
+    Rows equal in doc_id and text share what they take.  Extra columns, of any name, are carried along.
     """
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    sizes = document_sizes(marked.select(F.struct("doc_id", F.col("__mark").alias("mark")).alias("doc_id"), "source", "text"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("m"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sizes = document_sizes(docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "source", "text"))
     taken, _ = plan_mix(stash(sizes))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / F.lit(1 << 20)
     mean = taken.filter("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("mean"))
-    chosen = mean.select(F.col("doc_id.doc_id").alias("__d"), F.col("doc_id.mark").alias("__m"), F.floor(F.col("mean") + unit).cast("int").alias("__times")).filter("__times > 0")
-    mixed = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__m")))
-    return mixed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    chosen = mean.select("doc_id.doc_id", "doc_id.mark", F.floor(F.col("mean") + unit).cast("int").alias("times")).filter("times > 0")
+    mixed = rows.join(chosen, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
+    mixed = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
