@@ -16,8 +16,12 @@ Candidates are verified on whole lines by a banded bit-parallel automaton.
 Of each component of lines (copies included) the first occurrence stays, by (doc_id, text hash, line
 number); the others are removed, however short (empty lines too).
 
+Equal lines are told by 96 bits of hash, long ones by those of a digest; near ones are compared.
+
 Null and empty texts have no such line and stay as they are.  Rows with one doc_id keep their own
-lines; fully equal rows are treated alike.  Extra columns, of any name, are carried along.
+lines; fully equal rows are treated alike.  A null doc_id comes first in the order.  Texts of any
+length are read whole, and an empty table gives an empty result.  Extra columns, of any name, are
+carried along.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ FEW = 16  # lines under a key that are compared with each other
 BLOCK = 128  # lines of a block, where blocks are compared
 INDEX, PROBE = 1, 2
 EDITS_BIT = 2  # from this bit on, the role has the edits of its key
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def allowed(n: np.ndarray, edits: int | None) -> np.ndarray:
@@ -125,8 +130,17 @@ def within(a: str, b: str, edits: int) -> bool:
     return any(s >> (edits + len(a) - len(b)) & 1 for s in state)
 
 
+def _identities(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits that stand for each line."""
+    second = K.Prefix(data, _SECOND).of(lo, hi)
+    long = np.flatnonzero(hi - lo > K.SHORT)
+    if len(long):
+        second[long] = K.digests(data, lo[long], hi[long], 16)[:, 1]
+    return K.word_hashes(data, lo, hi).view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, mark, line, lid: every line of least_chars or more."""
+    """doc_id, mark, line, lid, more: every line of least_chars or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +148,11 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
                 data, offs = points(b)
                 lo, hi, row, number = line_spans(data, offs)
                 long = hi - lo >= least_chars
-                lid = K.Prefix(data).of(lo[long], hi[long]).view(np.int64)
+                lid, more = _identities(data, lo[long], hi[long])
                 rows = pa.array(b.first + row[long])
-                yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(number[long].astype(np.int32)), pa.array(lid)], names=["doc_id", "mark", "line", "lid"])
+                yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(number[long].astype(np.int32)), pa.array(lid), pa.array(more)], names=["doc_id", "mark", "line", "lid", "more"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, line int, lid long")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, line int, lid long, more int")
 
 
 def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFrame:
@@ -147,17 +161,16 @@ def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in K.blocks(batch.column("text")):
+            for b in K.blocks(batch.column("text"), 1 << 20):
                 data, offs = points(b)
                 lo, hi, _, _ = line_spans(data, offs)
                 long = hi - lo >= least_chars
                 prefix = K.Prefix(data)
                 lo, hi = lo[long], hi[long]
-                lid, once = np.unique(prefix.of(lo, hi).view(np.int64), return_index=True)
+                lid, once = np.unique(K.word_hashes(data, lo, hi).view(np.int64), return_index=True)
                 lo, hi = lo[once], hi[once]
-                for level in levels:
-                    for which, key, role, _, _ in keys(prefix, lo, hi, level, np.zeros(len(lo), np.uint64), edits, False):
-                        yield pa.record_batch([pa.array(key), pa.array(lid[which]), pa.array(role + np.int8(level << EDITS_BIT))], names=["key", "lid", "role"])
+                found = [(key, lid[which], role + np.int8(level << EDITS_BIT)) for level in levels for which, key, role, _, _ in keys(prefix, lo, hi, level, np.zeros(len(lo), np.uint64), edits, False)]
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "lid", "role"])
 
     return docs.select("text").mapInArrow(run, "key long, lid long, role byte")
 
@@ -243,10 +256,12 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
 
 def _block_links(crowded: DataFrame, edits: int | None) -> DataFrame:
     """a, b: links that connect what the lines (key, lid, role, content, n) under one key connect, compared in blocks."""
-    part = F.pmod(F.xxhash64("lid"), F.ceil(F.col("n") / BLOCK))
-    blocks = stash(crowded.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("lid", "role", "content")).alias("lines")))
-    x, y = (blocks.select("key", F.col("part").alias(f"{c}_part"), F.col("lines").alias(c)) for c in "xy")
-    met = x.join(y, "key").filter("x_part <= y_part").select((F.col("x_part") == F.col("y_part")).alias("same"), "x", "y")
+    rows = crowded.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("x"), F.greatest("part", k).alias("y"), (k < F.col("part")).alias("right")))
+    columns = ["key", "x", "y", "right", "lid", "role", "content"]
+    dealt = rows.select("key", "lid", "role", "content", F.explode(cell).alias("c")).select("key", "c.x", "c.y", "c.right", "lid", "role", "content")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def compare(m: list[dict], left: np.ndarray, right: np.ndarray, root: list[int]) -> Iterator[tuple[int, int]]:
         """Links between the lines left and right that connect two components."""
@@ -272,19 +287,29 @@ def _block_links(crowded: DataFrame, edits: int | None) -> DataFrame:
                     yield i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            x, y = sides
+            same, m = not y, x + y
+            left, right, root = np.arange(len(x)), np.arange(len(x), len(m)), list(range(len(m)))
+            found = list(compare(m, left, left, root))
+            if not same:  # what a block connects within is the work of its own cell
+                list(compare(m, right, right, root))
+                found = list(compare(m, left, right, root))
+            return pa.record_batch([pa.array([m[p[i]]["lid"] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            for at in range(len(batch)):
-                same, x, y = (batch.column(c)[at].as_py() for c in ("same", "x", "y"))
-                m = x if same else x + y
-                left, right, root = np.arange(len(x)), np.arange(len(x), len(m)), list(range(len(m)))
-                found = list(compare(m, left, left, root))
-                if not same:  # what a block connects within is a row of its own
-                    list(compare(m, right, right, root))
-                    found = list(compare(m, left, right, root))
-                a, b = ([m[p[i]]["lid"] for p in found] for i in (0, 1))
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for *cell, right, lid, role, content in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if cell != at:
+                    if sides[0]:
+                        yield done()
+                    at, sides = cell, ([], [])
+                sides[right].append({"lid": lid, "role": role, "content": content})
+        if sides[0]:
+            yield done()
 
-    return met.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def line_links(docs: DataFrame, seen: DataFrame, edits: int | None = None, least_chars: int = 0) -> DataFrame:
@@ -332,11 +357,13 @@ def removed_lines(docs: DataFrame, edits: int | None = None, least_chars: int =
     seen = stash(_occurrences(docs, least_chars))
     roots = stash(components(stash(line_links(docs, seen, edits, least_chars)))).select(F.col("node").alias("lid"), "root")
     place = F.struct("doc_id", "mark", "line")
-    lines = seen.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(roots, "lid", "left")
-    lines = stash(lines.filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "lid")))
-    best = lines.groupBy("root").agg(F.min("first").alias("stays"))
-    hit = lines.join(best, "root").select("lid", "stays", F.col("first").alias("own"))
-    gone = seen.join(hit, "lid").filter(~place.eqNullSafe(F.col("stays")))
+    lines = seen.groupBy("lid", "more").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(roots, "lid", "left")
+    # Lines that no other is near are told apart by all 96 bits; others go with what they are connected to.
+    group = {"g": F.coalesce("root", "lid"), "h": F.when(F.col("root").isNull(), F.col("more")).otherwise(0)}
+    lines = stash(lines.filter("n > 1 or root is not null").withColumns(group))
+    best = lines.groupBy("g", "h").agg(F.min("first").alias("stays"))
+    hit = lines.join(best, ["g", "h"]).select("lid", "more", "stays", F.col("first").alias("own"))
+    gone = seen.join(hit, ["lid", "more"]).filter(~place.eqNullSafe(F.col("stays")))
     near = F.col("stays") != F.col("own")
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set("line").alias("gone"), F.count_if(near).alias("n_near"))
 
