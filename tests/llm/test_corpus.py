@@ -303,6 +303,18 @@ def test_mixing_draws_shards(spark, monkeypatch):
     assert all(abs(counts[k] - 256 * share) < 60 for k in range(len(full) - 1)) and len({counts[k] for k in range(len(full) - 1)}) > 1
 
 
+def test_mixed_documents(spark):
+    """Whole documents, near the targets, with columns of any name; long and null texts, a null id, repeated rows."""
+    rows = [(i, "w " * (3 + i % 40), "abc"[i % 3], i, "x") for i in range(600)]
+    rows += [(None, "no id", "a", 1, "y"), (601, None, "b", 2, None), (602, "long " * 50_000, "c", 3, "z"), rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, `m.k` string")
+    got = mixing.mix_documents(docs).collect()
+    assert got[0].__fields__ == docs.columns
+    known = collections.Counter(map(repr, rows))
+    assert all(n <= 2 * known[one] for one, n in collections.Counter(repr(tuple(r)) for r in got).items())
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r.x for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("x")).collect()]
