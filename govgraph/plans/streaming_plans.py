@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.traverse import shared_path
 from ..streaming import streams
 from .base import plan
 
 
 def events(g):
-    return streams.read(g.spark, f"{g.dir}/events.parquet")
+    """The events as four files that arrive one after the other, a micro-batch each."""
+    folder = streams.split_in_time(g.table("events"), shared_path(g.spark))
+    return streams.read(g.spark, f"{folder}/*.parquet")
 
 
 @plan("k_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", graph=False)
@@ -35,7 +38,7 @@ def _(g):
     e = events(g)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     facts = e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject"), F.concat(F.lit("LAST_"), F.upper("event_type")).alias("relation"), at.alias("at"), F.col("event_id").alias("seq"))
-    return streams.drain(streams.latest(facts), "update").select("subject", "relation", "seq")
+    return streams.drain(streams.latest(facts), "update", ("subject", "relation")).select("subject", "relation", "seq")
 
 
 @plan("k5_dedup", "SELECT DISTINCT event_id FROM events", graph=False)
@@ -43,9 +46,45 @@ def _(g):
     return streams.drain(streams.deduplicated(events(g))).select("event_id")
 
 
-@plan("k1_incremental_merge", "SELECT relation, count(DISTINCT (subject, object)) AS n FROM kg_facts GROUP BY relation")
+def facts(e):
+    return e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject"), F.concat(F.lit("LAST_"), F.upper("event_type")).alias("relation"), F.concat(F.lit("v:"), F.floor("value").cast("string")).alias("object"), ((F.col("event_id") % 100) / F.lit(100.0)).cast("double").alias("confidence"), F.lit("stream").alias("source"))
+
+
+@plan("k1_incremental_merge", "AND b AS (SELECT DISTINCT subject, relation, object FROM kg_facts WHERE relation = 'LAST_SIGNUP'), a AS (SELECT DISTINCT subject, relation, object FROM kg_facts WHERE relation <> 'LAST_SIGNUP') SELECT *, 'base' AS source FROM b UNION ALL SELECT *, 'stream' FROM a")
+def _(g):
+    """Micro-batches merged into a base that has some of their triples: what it has stays, what is new enters once."""
+    base = g.facts.filter("relation = 'LAST_SIGNUP'").select("subject", "relation", "object").distinct().withColumns({"confidence": F.lit(1.0), "source": F.lit("base")})
+    done = streams.merge_into(facts(events(g)), base, shared_path(g.spark), shared_path(g.spark))
+    return done.select("subject", "relation", "object", "source")
+
+
+@plan("k3_resume", "SELECT count(*) AS n, count(*) AS ids FROM events", graph=False)
 def _(g):
-    """Micro-batches of facts, merged into a set: only new triples of each batch enter."""
+    """A stream that stops and starts again on its own checkpoint puts out each event once."""
+    out, state, folder = shared_path(g.spark), shared_path(g.spark), shared_path(g.spark)
+    early = g.table("events").filter("event_id % 2 = 0")
+    streams.split_in_time(early, folder, parts=2)
+    read = lambda: streams.read(g.spark, f"{folder}/*.parquet")
+    streams.drain(read(), out=out, state=state)
+    streams.split_in_time(g.table("events").filter("event_id % 2 = 1"), folder, parts=2)
+    done = streams.drain(read(), out=out, state=state)
+    return done.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@plan("k4_subscriber", "SELECT event_id FROM events WHERE (event_type <> 'error' AND user_id % 10 = 3) OR (event_type = 'error' AND user_id <> 3)", graph=False)
+def _(g):
+    """Messages to agent 3, and broadcasts on its topic: errors go to all, others to the last digit of the user."""
     e = events(g)
-    facts = e.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject"), F.concat(F.lit("LAST_"), F.upper("event_type")).alias("relation"), F.concat(F.lit("v:"), F.floor("value").cast("string")).alias("object"))
-    return streams.drain(facts).distinct().groupBy("relation").agg(F.count("*").alias("n"))
+    to = F.when(F.col("event_type") != "error", (F.col("user_id") % 10).cast("string"))
+    sent = e.select("event_id", F.col("user_id").cast("string").alias("sender"), to.alias("recipient"), F.col("event_type").alias("topic"))
+    return streams.drain(streams.messages_for(sent, "3", ("error",))).select("event_id")
+
+
+@plan("k7_usage_log", "SELECT event_type AS model, count(*) AS calls, sum(length(props)) AS tokens FROM events GROUP BY 1", graph=False)
+def _(g):
+    """Calls appended to a log of JSON lines by a file sink, then read back and added up."""
+    out, state = shared_path(g.spark), shared_path(g.spark)
+    log = events(g).select(F.col("event_type").alias("model"), F.length("props").alias("prompt_tokens"))
+    streams.run_to_end(log.writeStream.format("json").outputMode("append").option("path", out), state)
+    back = g.spark.read.schema("model string, prompt_tokens long").json(out)
+    return back.groupBy("model").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("tokens"))
