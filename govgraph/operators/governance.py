@@ -34,14 +34,13 @@ def route(triples: DataFrame, domain_entities: DataFrame, domain_relations: Data
     score = lambda d: F.array_contains("so", d).cast("int") * SUBJECT + F.array_contains("oo", d).cast("int") * OBJECT + F.array_contains("ro", d).cast("int") * RELATION
     # A domain known only by its relation matters only where no end is owned.
     pool = F.when(F.size(both) > 0, both).otherwise(F.col("ro"))
-    met = met.withColumn("pool", pool)
-    best = F.array_max(F.transform("pool", score))
-    top = F.array_sort(F.filter("pool", lambda d: score(d) == F.col("best")))
-    met = met.withColumn("best", best)
+    met = met.withColumn("pool", F.transform(pool, lambda d: F.struct(score(d).alias("score"), d.alias("d"))))
+    best = F.array_max("pool")["score"]
+    top = F.array_sort(F.transform(F.filter("pool", lambda x: x["score"] == best), lambda x: x["d"]))
     ids = F.when(apart, F.array_sort(both)).otherwise(F.coalesce(top, none))
     kind = F.when(apart, "cross_domain").when(F.size("pool") == 0, "unowned").when(F.size(ids) == 1, "single_owner").otherwise("cross_domain")
     out = met.withColumns({"assignment_type": kind, "domain_ids": ids})
-    return out.withColumn("primary_domain_id", F.get("domain_ids", 0)).drop("so", "oo", "ro", "pool", "best")
+    return out.withColumn("primary_domain_id", F.get("domain_ids", 0)).drop("so", "oo", "ro", "pool")
 
 
 def admission(confidence: Column, least: float) -> Column:
@@ -53,8 +52,8 @@ def triage_reason(confidence: Column, assignment: Column, novel: Column, conflic
     return F.when(F.coalesce(confidence, F.lit(0.0)) < least, "low_confidence").when(assignment.isin("cross_domain", "unowned"), assignment).when(novel, "schema_novel").when(conflict, "conflict")
 
 
-def decide(routed: DataFrame, mode: str, floor: float | None = None, novel: Column | None = None, conflict: Column | None = None) -> DataFrame:
-    """action for each routed triple: floor first, then the mode."""
+def action(mode: str, floor: float | None = None, novel: Column | None = None, conflict: Column | None = None) -> Column:
+    """What becomes of a routed triple: floor first, then the mode."""
     never = F.lit(False)
     below = ~admission(F.col("confidence"), floor) if floor is not None else never
     review = triage_reason(F.col("confidence"), F.col("assignment_type"), never if novel is None else novel, never if conflict is None else conflict)
@@ -66,7 +65,11 @@ def decide(routed: DataFrame, mode: str, floor: float | None = None, novel: Colu
     }
     if mode not in by_mode:
         raise ValueError(f"no such mode: {mode}")
-    return routed.withColumn("action", F.when(below, "reject").otherwise(by_mode[mode]))
+    return F.when(below, "reject").otherwise(by_mode[mode])
+
+
+def decide(routed: DataFrame, mode: str, floor: float | None = None, novel: Column | None = None, conflict: Column | None = None) -> DataFrame:
+    return routed.withColumn("action", action(mode, floor, novel, conflict))
 
 
 def rule_replay(routed: DataFrame, floor: float) -> DataFrame:

@@ -78,6 +78,18 @@ def simple_paths(triples: DataFrame, sources: DataFrame, targets: DataFrame, max
     return done
 
 
+def depths(links: DataFrame) -> DataFrame:
+    """id, depth of messages (id, parent; null at the start of a thread): replies up to the start, or to an unknown parent.
+
+    Each round doubles how far a message has looked up, so rounds grow as the logarithm of the longest thread.
+    """
+    now = held(links.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    while not now.filter("up is not null").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        now = held(now.join(above, "up", "left").select("id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return now.select("id", "depth")
+
+
 def components(triples: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """id, component: the smallest id reachable.  Labels of neighbours, then labels of labels, until nothing changes."""
     step = held(edges(triples))
@@ -123,19 +135,54 @@ def pagerank(triples: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds:
     return rank.select("id", "rank")
 
 
-def communities(triples: DataFrame, rounds: int = 8, least_size: int = 3, most: int = 40) -> DataFrame:
-    """community_id, id: label propagation with ties to the smallest label; the largest communities.
+def _moved(step: DataFrame, rounds: int) -> DataFrame:
+    """id, c: communities after rounds of moves, each node to the neighbouring one that raises modularity most.
 
-    The cap on the number of communities comes before the least size.
+    step: a, b, w in both directions, with loops.  In a round only every second node moves, by a hash of it and the round:
+    neighbours that all move at once would swap places for ever.
     """
-    step = held(edges(triples))
-    label = held(step.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = step.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.max("n").alias("n")).join(votes, ["id", "n"]).groupBy("id").agg(F.min("label").alias("label"))
-        label = held(best)
-    sizes = label.groupBy("label").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "label").limit(most).filter(F.col("size") >= least_size)
-    return label.join(sizes, "label").select(F.col("label").alias("community_id"), "id", "size")
+    size = held(step.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+    label = held(size.select("id", F.col("id").alias("c"), "k"))
+    ends = size.agg(F.sum("k")).first()[0]
+    still = 0
+    for turn in range(rounds):
+        total = label.groupBy("c").agg(F.sum("k").alias("total"))
+        near = step.filter("a <> b").join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("inside"))
+        every = near.unionByName(label.select("id", "c", F.lit(0.0).alias("inside"))).groupBy("id", "c").agg(F.sum("inside").alias("inside"))
+        rated = every.join(total, "c").join(label.select("id", F.col("c").alias("own"), "k"), "id")
+        others = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("inside") - F.col("k") * others / F.lit(ends), 9)
+        best = rated.groupBy("id", "own", "k").agg(F.max(F.struct(gain.alias("gain"), (F.col("c") == F.col("own")).alias("stays"), F.col("c").alias("c"))).alias("best"))
+        moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        new = held(best.select("id", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", "own"))
+        label, still = new.drop("own"), still + 1 if new.filter("c <> own").isEmpty() else 0
+        if still == 2:
+            break
+    return label.select("id", "c")
+
+
+def louvain(triples: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
+    """community_id, id: Louvain's method in rounds.  After moves on a level its communities are the next one's nodes, until
+    none join.  A community goes by its smallest id."""
+    step = held(edges(triples).withColumn("w", F.lit(1.0)))
+    member = step.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    for _ in range(levels):
+        label = _moved(step, rounds)
+        member = held(member.join(label.select(F.col("id").alias("c"), F.col("c").alias("d")), "c").select("id", F.col("d").alias("c")))
+        x, y = label.select(F.col("id").alias("a"), F.col("c").alias("ca")), label.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+        above = held(step.join(x, "a").join(y, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        if label.filter("id <> c").isEmpty():
+            break
+        step = above
+    least = member.groupBy("c").agg(F.min("id").alias("community_id"))
+    return member.join(least, "c").select("community_id", "id")
+
+
+def communities(triples: DataFrame, least_size: int = 3, most: int = 40) -> DataFrame:
+    """community_id, id, size: the largest communities.  The cap on their number comes before the least size."""
+    label = held(louvain(triples))
+    sizes = label.groupBy("community_id").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community_id").limit(most).filter(F.col("size") >= least_size)
+    return label.join(sizes, "community_id").select("community_id", "id", "size")
 
 
 def modularity(triples: DataFrame, member: DataFrame) -> DataFrame:

@@ -37,11 +37,11 @@ def _(g):
     return top.groupBy("domain_id").agg(F.array_join(ordered, "; ").alias("card"))
 
 
-@plan("a6_provenance_merge", """AND refs AS (SELECT user_id AS k, event_id AS seq, 'doc' || event_id % 30 AS document_id, event_id % 3 AS char_start, 10 AS char_end, (event_id % 100) / 100.0 AS confidence, event_type AS confidence_source FROM events WHERE user_id < 50),
+@plan("a6_provenance_merge", """AND refs AS (SELECT user_id AS k, event_id AS seq, 'doc' || event_id % 30 AS document_id, event_id % 3 AS char_start, 10 AS char_end, (event_id % 100) / 100.0 AS confidence, event_type AS confidence_source FROM events),
 u AS (SELECT k, document_id, char_start, char_end, min(seq) AS seq FROM refs GROUP BY 1, 2, 3, 4) SELECT k, count(*) AS n_refs FROM u GROUP BY k""")
 def _(g):
     e = F.col("event_id")
-    refs = g.table("events").filter("user_id < 50").select(F.col("user_id").alias("k"), e.alias("seq"), F.concat(F.lit("doc"), (e % 30).cast("string")).alias("document_id"), (e % 3).alias("char_start"), F.lit(10).alias("char_end"), (e % 100 / 100.0).alias("confidence"), F.col("event_type").alias("confidence_source"), F.col("props").alias("evidence"))
+    refs = g.table("events").select(F.col("user_id").alias("k"), e.alias("seq"), F.concat(F.lit("doc"), (e % 30).cast("string")).alias("document_id"), (e % 3).alias("char_start"), F.lit(10).alias("char_end"), (e % 100 / 100.0).alias("confidence"), F.col("event_type").alias("confidence_source"), F.col("props").alias("evidence"))
     return store.merge_provenance(refs, ["k"]).select("k", "n_refs")
 
 

@@ -11,7 +11,6 @@ from ..operators import scoring as S
 from ..operators import store, traverse, vectors
 from .base import plan
 from .governance_plans import _VOTES, ROUTED, routed, votes
-from .graph_plans import small
 from .retrieval_plans import query, table
 
 
@@ -81,7 +80,7 @@ def _(g):
 @plan("v17_hybrid")
 def _(g):
     """Seeds by name, mass by personalized PageRank, triples by lexical score and mass."""
-    graph = small(g)
+    graph = g.triples
     seeds = g.entities.filter("type = 'Nation' and lower(label) in ('nation_3', 'nation_7')").select("id")
     mass = traverse.pagerank(graph, seeds, rounds=10)
     s, o = mass.select(F.col("id").alias("subject"), F.col("rank").alias("a")), mass.select(F.col("id").alias("object"), F.col("rank").alias("b"))

@@ -59,12 +59,11 @@ def _(g):
 d AS (SELECT mode, CASE WHEN confidence < 0.92 THEN 'reject' WHEN mode = 'audit_only' THEN 'auto_approve' WHEN mode = 'strict' THEN 'escalate' WHEN mode = 'permissive' THEN CASE WHEN assignment_type = 'unowned' THEN 'escalate' ELSE 'auto_approve' END
  ELSE CASE WHEN confidence < 0.7 OR assignment_type IN ('cross_domain', 'unowned') THEN 'escalate' ELSE 'auto_approve' END END AS action FROM routed, m) SELECT mode, action, count(*) AS n FROM d GROUP BY 1, 2""")
 def _(g):
-    base = routed(g).select("confidence", "assignment_type")
-    out = None
-    for mode in ("audit_only", "permissive", "triage", "strict"):
-        one = G.decide(base, mode, 0.92).groupBy("action").agg(F.count("*").alias("n")).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # One pass: the modes' actions side by side, counted together.
+    modes = ("audit_only", "permissive", "triage", "strict")
+    each = routed(g).groupBy(*(G.action(mode, 0.92).alias(mode) for mode in modes)).agg(F.count("*").alias("n"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(mode).alias("mode"), F.col(mode).alias("action")) for mode in modes)))
+    return each.select("n", pairs.alias("x")).groupBy("x.mode", "x.action").agg(F.sum("n").alias("n"))
 
 
 @plan("g6_commit", """AND cand AS (SELECT subject, relation, object, max(confidence) AS confidence FROM kg_facts WHERE seq % 2 = 1 AND confidence >= 0.5 GROUP BY 1, 2, 3), base AS (SELECT DISTINCT subject, relation, object FROM kg_facts WHERE seq % 2 = 0)

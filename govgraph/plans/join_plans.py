@@ -36,10 +36,10 @@ def _(g):
 
 @plan("j4_domain_subgraph", "SELECT DISTINCT subject, relation, object FROM kg_triples WHERE subject IN (SELECT entity_id FROM domain_entities WHERE domain_id = 'D:region:1') OR object IN (SELECT entity_id FROM domain_entities WHERE domain_id = 'D:region:1')")
 def _(g):
-    own = g.domain_entities.filter("domain_id = 'D:region:1'").select(F.col("entity_id").alias("subject"))
-    s = g.triples.join(own, "subject", "left_semi")
-    o = g.triples.join(own.withColumnRenamed("subject", "object"), "object", "left_semi")
-    return s.select(*store.KEY).unionByName(o.select(*store.KEY)).distinct()
+    # One pass over the triples with a flag for each end; they are unique by their parts.
+    end = lambda c: g.domain_entities.filter("domain_id = 'D:region:1'").select(F.col("entity_id").alias(c), F.lit(True).alias(f"own_{c}"))
+    met = g.triples.join(end("subject"), "subject", "left").join(end("object"), "object", "left")
+    return met.filter("own_subject or own_object").select(*store.KEY)
 
 
 @plan("j5_cross_domain", "SELECT subject, relation, object FROM kg_triples JOIN domain_entities a ON a.entity_id = subject JOIN domain_entities b ON b.entity_id = object WHERE a.domain_id <> b.domain_id")

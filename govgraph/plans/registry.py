@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregate_plans, answer_plans, curation_plans, evaluation_plans, filter_plans, governance_plans, graph_plans, hygiene_plans, join_plans, retrieval_plans, scoring_plans, source_plans, state_plans, streaming_plans, text_plans, value_plans, window_plans  # noqa: F401
+from . import aggregate_plans, answer_plans, curation_plans, evaluation_plans, filter_plans, governance_plans, graph_plans, hygiene_plans, join_plans, record_plans, retrieval_plans, scoring_plans, source_plans, state_plans, streaming_plans, text_plans, value_plans, window_plans  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -49,10 +49,10 @@ def _(g):
     return segments.select("item_id", "index", F.array_join("parts", " ").alias("text"))
 
 
-@plan("w5_chunks", "SELECT doc_id, i AS index, substr(text, i * 500 + 1, 600) AS chunk FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 500.0) AS BIGINT)))) AS i FROM documents WHERE doc_id < 200)", graph=False)
+@plan("w5_chunks", "SELECT doc_id, i AS index, substr(text, i * 500 + 1, 600) AS chunk FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 500.0) AS BIGINT)))) AS i FROM documents)", graph=False)
 def _(g):
     """Character chunks of 600 that overlap by 100."""
-    docs = g.table("documents").filter("doc_id < 200")
+    docs = g.table("documents")
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - 100) / 500.0)).cast("long")
     return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("index")).select("doc_id", "index", F.substring("text", (F.col("index") * 500 + 1).cast("int"), F.lit(600)).alias("chunk"))
 
