@@ -40,10 +40,10 @@ TREES, DEPTH, BRANCHES = 4, 4, 2
 #: A pair at 0.8, with one sketch for all trees, is missed with probability 0.00006 at depth 4 and 0.00017 at depth 32.
 SECOND_CHILD = 3
 #: Levels that a large node goes down at once: few, as nodes left with one class are dropped before the next.
-SMALL_NODE, AGAIN, MAX_DEPTH = 12, 4, 32
+SMALL_NODE, AGAIN, MAX_DEPTH = 12, 2, 32
 #: In a large node, classes at least so like its chosen member belong to its loose component; below the second they branch again.
 #: They are 20 apart: of a pair at 0.8, one cannot be above the second and the other below the first, but for the estimates' error.
-LOOSE_PERCENT, AGAIN_PERCENT = 40, 60
+LOOSE_PERCENT, AGAIN_PERCENT = 20, 40
 ASKING, ANSWERING = 256, 1024  # classes on the sides of a block of exact comparisons
 #: Candidates whose estimate is below the threshold less almost five standard deviations (0.041) are dropped.
 SLACK_PERCENT = 20
@@ -66,12 +66,15 @@ def shingle_sets(b: K.Block, words: int) -> Iterator[np.ndarray]:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Smallest value of each of TOKENS hash functions over the set."""
+    """Smallest value of each of TOKENS hash functions over the set: 16 bits of it, which choose paths.
+
+    Pairs are estimated by 8 bits: unlike tokens agree by chance in one case of 256, so none is underrated.
+    """
     out = np.full(TOKENS, np.uint32(0xFFFFFFFF))
     for lo in range(0, len(found), 4096):
         part = found[lo : lo + 4096]
         out = np.minimum(out, ((part[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)).min(axis=1).astype(np.uint32))
-    return out
+    return out.astype(np.uint16)
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -79,14 +82,16 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for b in K.blocks(batch.column("text")):
                 ids = [batch.column(c).slice(b.first, b.rows) for c in ("doc_id", "mark")]
-                n, digests, sketches = [], [], []
+                n, digests, sketches, briefs = [], [], [], []
                 for found in shingle_sets(b, words):
                     n.append(len(found))
                     digests.append(hashlib.md5(found).digest())
-                    sketches.append(sketch(found).tobytes())
-                yield pa.record_batch([*ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "sketch"])
+                    tokens = sketch(found)
+                    sketches.append(tokens.tobytes())
+                    briefs.append(tokens.astype(np.uint8).tobytes())
+                yield pa.record_batch([*ids, pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, sketches, briefs))], names=["doc_id", "mark", "n_shingles", "digest", "sketch", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary, brief binary")
 
 
 def _sets(small: DataFrame, words: int) -> DataFrame:
@@ -134,7 +139,7 @@ def _paths(at: DataFrame, levels: int) -> DataFrame:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
                 n = len(part)
-                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(n, TOKENS)
+                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(n, TOKENS)
                 if rooted:
                     node = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
                 else:
@@ -188,14 +193,14 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """a, b, sim: how many percent of the sketches agree, for pairs from ``least`` on."""
-    left = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+    left = sketches.select(F.col("cid").alias("a"), F.col("brief").alias("sa"))
+    right = sketches.select(F.col("cid").alias("b"), F.col("brief").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.slice(lo, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(len(part), TOKENS) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(len(part), TOKENS) for c in ("sa", "sb"))
                 sim = 100 * (x == y).mean(axis=1)
                 yield pa.record_batch([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"]).filter(pa.array(sim >= least))
 
@@ -287,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = stash(_sketches(docs, words))
     label = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")  # a null id comes last
-    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(label).alias("label"), F.first("sketch").alias("sketch"))
+    least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(label).alias("label"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"))
     classes = stash(least.withColumn("cid", F.monotonically_increasing_id()))
     pairs = stash(_candidates(classes, percent))
 
