@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 LEAF_CHARS, LEAF_TOKENS = 256, 64
 FIRST_WINDOW = 16
-#: Matches remembered by a process, short ones only: some dozen MB.
+#: Matches remembered by a process, short ones only, in each of two generations: about 120 MB in all.
 REMEMBERED, SHORT_MATCH = 1 << 18, 32
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -50,8 +50,10 @@ class Codec:
         self.spelled = [b""] * (max(self.rank.values()) + 1)
         for token, rank in self.rank.items():
             self.spelled[rank] = token
+        self.shown = [str(i) for i in range(len(self.spelled))]
         self.length = np.array([len(token) for token in self.spelled], np.int64)
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, match: bytes) -> list[int]:
         """Of all neighbours that make up a token, those of the lowest rank (the first such) merge, until none do."""
@@ -85,15 +87,18 @@ class Codec:
         return [i for match in self.split(text) for i in known(match) or new(match)]
 
     def _new(self, match: str) -> tuple[int, ...]:
-        ids = tuple(self.merged(match.encode()))
+        ids = self.older.get(match) or tuple(self.merged(match.encode()))
         if len(match) <= SHORT_MATCH:
             if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
+                self.older, self.remembered = self.remembered, {}
             self.remembered[match] = ids
         return ids
 
     def encode(self, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
-        return np.array(self._range(text, 0, len(text), leaf_chars), np.uint32)
+        return np.array(self.tokens(text, leaf_chars), np.uint32)
+
+    def tokens(self, text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
+        return self._range(text, 0, len(text), leaf_chars)
 
     def _range(self, text: str, start: int, end: int, leaf_chars: int) -> list[int]:
         if end - start <= leaf_chars:
@@ -116,12 +121,12 @@ class Codec:
             skip += 1
         return left[:keep] + self.leaf(text[lo:hi]) + right[skip:]
 
-    def decode(self, ids: np.ndarray, leaf_tokens: int = LEAF_TOKENS) -> bytes:
-        return self._spelled(ids.tolist(), 0, len(ids), leaf_tokens)
+    def decode(self, ids: list[int], leaf_tokens: int = LEAF_TOKENS) -> bytes:
+        return self._spelled(ids, 0, len(ids), leaf_tokens)
 
     def _spelled(self, ids: list[int], start: int, end: int, leaf_tokens: int) -> bytes:
         if end - start <= leaf_tokens:
-            return b"".join([self.spelled[i] for i in ids[start:end]])
+            return b"".join(map(self.spelled.__getitem__, ids[start:end]))
         middle = (start + end) // 2
         return self._spelled(ids, start, middle, leaf_tokens) + self._spelled(ids, middle, end, leaf_tokens)
 
@@ -167,13 +172,13 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
                 rows = [part.column(k) for k in keep]
                 found = []
                 for value in part.column(text):
-                    ids = c.encode(value.as_py() or "")
+                    ids = c.tokens(value.as_py() or "")
                     decoded = c.decode(ids)
                     if digests:
-                        shown = ",".join(map(str, ids.tolist())).encode()
+                        shown = ",".join(map(c.shown.__getitem__, ids)).encode()
                         found.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                     else:
-                        found.append((pa.array(ids.astype(np.int32)), decoded))
+                        found.append((pa.array(ids, pa.int32()), decoded))
                 columns = list(zip(*found, strict=True)) or [(), (), ()]
                 if digests:
                     out = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
