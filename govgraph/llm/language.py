@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 PER_LANGUAGE, MOST_ROWS = 250, 5_000
+#: Parts of the input ranked by themselves before those of a language meet in one task.
+HEAPS = 64
 LANDMARKS, RIDGE, AT_ONCE = 160, 1e-2, 64
 UNKNOWN = "und"
 #: Where the 2-grams and 1-grams begin, after all 3-grams, and the end.
@@ -105,8 +107,12 @@ def _places(slots: bytes) -> np.ndarray:
 def learn(rows: DataFrame, order: str = "doc_id") -> Model | None:
     """From text and lang of the rows; null if no row can be learned from."""
     fit = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(order), order, F.xxhash64("text"), "text")
-    picked = fit.select("lang", "text", F.row_number().over(first).alias("n")).filter(F.col("n") <= PER_LANGUAGE)
+    # first the firsts of each heap of input partitions, so that no task reads those of all; which heap does not show
+    by = (F.xxhash64(order), order, F.xxhash64("text"), "text")
+    heaps = fit.select(*dict.fromkeys(("lang", "text", order)), (F.spark_partition_id() % HEAPS).alias("__heap"))
+    heaps = heaps.withColumn("__n", F.row_number().over(Window.partitionBy("lang", "__heap").orderBy(*by))).filter(F.col("__n") <= PER_LANGUAGE)
+    first = Window.partitionBy("lang").orderBy(*by)
+    picked = heaps.select("lang", "text", F.row_number().over(first).alias("n")).filter(F.col("n") <= PER_LANGUAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
