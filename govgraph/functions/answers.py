@@ -63,17 +63,34 @@ def decomposed_text(text: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _decomposed(t)), "string")(text)
 
 
-def values_in(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text, type, confidence, context: values and names in each text, each surface once, by the first pattern that finds it."""
+def _spans(name: str, text: str) -> list[tuple[int, int]]:
+    """Where the name stands in the text as whole words."""
+    found, lo = [], text.find(name)
+    while lo >= 0:
+        hi = lo + len(name)
+        if not (lo and (text[lo - 1] + name[0]).isalnum()) and not (hi < len(text) and (name[-1] + text[hi]).isalnum()):
+            found.append((lo, hi))
+        lo = text.find(name, lo + 1)
+    return found
+
+
+def values_in(docs: DataFrame, key: str = "doc_id", name: str | None = None) -> DataFrame:
+    """key, text, type, confidence, context: values and names in each text, each surface once, by the first pattern that finds it.
+
+    ``name``: a column with what the text is about.  A match within that name is no value: "Order 1995" has no year.
+    """
     patterns = [(re.compile(p), kind) for p, kind in VALUE_PATTERNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for own, text in zip(rows["key"], rows["text"], strict=True):
+            for own, text, named in zip(rows["key"], rows["text"], rows["named"], strict=True):
                 seen = {""}
+                names = _spans(named, text) if named and text else []
                 for pattern, kind in patterns:
                     for met in pattern.finditer(text or ""):
+                        if any(lo <= met.start() and met.end() <= hi for lo, hi in names):
+                            continue
                         surface = met.group(0).strip()
                         same = re.sub(r"[^a-z0-9]+", " ", surface.lower()).strip()
                         if len(surface) < 3 or surface.lower() in NO_SURFACES or same in seen:
@@ -84,7 +101,8 @@ def values_in(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "text", "type", "confidence", "context"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInPandas(run, f"key {kind}, text string, type string, confidence double, context string").withColumnRenamed("key", key)
+    named = (F.col(name) if name else F.lit(None)).cast("string").alias("named")
+    return docs.select(F.col(key).alias("key"), "text", named).mapInPandas(run, f"key {kind}, text string, type string, confidence double, context string").withColumnRenamed("key", key)
 
 
 def value_relation(kind: Column, context: Column) -> Column:

@@ -15,7 +15,7 @@ def said(g):
     at = F.col("o_orderdate")
     s = lambda c: c.cast("string")
     parts = ["Order ", s(F.col("o_orderkey")), " opened on ", s(F.dayofmonth(at)), " ", F.date_format(at, "MMMM"), " ", s(F.year(at)), " for ", s(100 + F.col("o_custkey") % 900), ",000 seats, from ", s(F.year(at)), " to ", s(F.year(at) + 1), ", ", s(F.col("o_orderkey") % 90 + 10), " km off."]
-    return g.table("orders").withColumn("text", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    return g.table("orders").withColumn("text", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).withColumn("name", F.concat(F.lit("Order "), s(F.col("o_orderkey"))))
 
 
 @plan("n18_values", f"""WITH s AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y, day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) AS d FROM orders)
@@ -24,7 +24,7 @@ UNION ALL SELECT o_orderkey, 'from ' || y || ' to ' || (y + 1), 'DateRange' FROM
 UNION ALL SELECT o_orderkey, (100 + o_custkey % 900) || ',000 seats', 'Quantity' FROM s UNION ALL SELECT o_orderkey, (o_orderkey % 90 + 10) || ' km', 'Quantity' FROM s""", graph=False)
 def _(g):
     """Dates twice: with the verb before them and without are two surfaces of one value."""
-    return A.values_in(said(g), "o_orderkey").select("o_orderkey", "text", "type")
+    return A.values_in(said(g), "o_orderkey", "name").select("o_orderkey", "text", "type")
 
 
 @plan("n19_value_relation", """SELECT relation, count(*) AS n FROM (SELECT unnest(['HAS_TIMEFRAME', 'HAS_TIMEFRAME', 'HAS_TIMEFRAME', 'HAS_YEAR', 'HAS_YEAR', 'HAS_CAPACITY', 'HAS_CAPACITY']) AS relation FROM orders) GROUP BY relation""", graph=False)

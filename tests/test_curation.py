@@ -114,3 +114,54 @@ def test_json_layouts(spark, tmp_path):
     (tmp_path / "array.json").write_text('[{"a": 1}, {"a": 2}]')
     (tmp_path / "lines.json").write_text('{"a": 3}\n{"a": 4}\n')
     assert sorted(r.a for r in benchmarks.read_json(spark, f"file://{tmp_path}/*.json", "a long").collect()) == [1, 2, 3, 4]
+
+
+def test_values_of_what_has_a_year_for_its_number(spark):
+    """"Order 1995" is a name: its number is a year only where it stands again."""
+    said = [(1, "Order 1995 opened on 3 May 1995, 20 km off.", "Order 1995"), (2, "Order 1850 opened on 3 May 1995.", "Order 1850"), (3, "Order 1850 is from 1850.", None), (4, "Order 18501 opened in 1850, of Order 1850.", "Order 1850")]
+    rows = spark.createDataFrame(said, "doc_id long, text string, name string")
+    years = lambda **more: sorted((r.doc_id, r.text) for r in answers.values_in(rows, **more).collect() if r.type == "Year")
+    assert years(name="name") == [(1, "1995"), (2, "1995"), (3, "1850"), (4, "1850")]
+    assert years() == [(1, "1995"), (2, "1850"), (2, "1995"), (3, "1850"), (4, "1850")]
+
+
+def grown(tmp_path, **tables):
+    """A folder with these small tables beside the smallest ones."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    for name, columns in tables.items():
+        os.unlink(tmp_path / f"{name}.parquet")
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def against_sql(spark, name, folder):
+    """Rows of a query and of its SQL, in order."""
+    import os
+
+    import duckdb
+
+    from govgraph.plans import registry
+
+    con = duckdb.connect()
+    for table in os.listdir(folder):
+        con.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{table}'")
+    got = registry.queries()[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
+
+
+def orders_of_years():
+    from datetime import datetime
+
+    return {"o_orderkey": [1700, 1850, 1995, 1996, 2050], "o_custkey": [1, 2, 3, 4, 5], "o_orderdate": [datetime(1995, 5, i + 1) for i in range(5)]}
+
+
+def test_values_of_orders(spark, tmp_path):
+    got, want = against_sql(spark, "n18_values", grown(tmp_path, orders=orders_of_years()))
+    assert got == want and len(got) == 35
