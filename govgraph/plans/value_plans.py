@@ -29,7 +29,7 @@ def _(g):
 
 @plan("n19_value_relation", """SELECT relation, count(*) AS n FROM (SELECT unnest(['HAS_TIMEFRAME', 'HAS_TIMEFRAME', 'HAS_TIMEFRAME', 'HAS_YEAR', 'HAS_YEAR', 'HAS_CAPACITY', 'HAS_CAPACITY']) AS relation FROM orders) GROUP BY relation""", graph=False)
 def _(g):
-    found = A.values_in(said(g), "o_orderkey")
+    found = A.values_in(said(g), "o_orderkey", "name")
     return found.groupBy(A.value_relation(F.col("type"), F.col("context")).alias("relation")).agg(F.count("*").alias("n"))
 
 

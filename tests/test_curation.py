@@ -165,3 +165,8 @@ def orders_of_years():
 def test_values_of_orders(spark, tmp_path):
     got, want = against_sql(spark, "n18_values", grown(tmp_path, orders=orders_of_years()))
     assert got == want and len(got) == 35
+
+
+def test_relations_of_orders(spark, tmp_path):
+    got, want = against_sql(spark, "n19_value_relation", grown(tmp_path, orders=orders_of_years()))
+    assert got == want
