@@ -9,7 +9,8 @@ from ..operators import scoring as S
 from .base import plan
 from .text_plans import ANSWER, answers
 
-GRID = [0.30 + 0.05 * i for i in range(14)]
+#: The doubles next to the decimal steps: 0.30 + 0.05 * 6 is above 0.6.
+GRID = [(30 + 5 * i) / 100 for i in range(14)]
 
 
 def _pred(g):

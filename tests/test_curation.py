@@ -170,3 +170,11 @@ def test_values_of_orders(spark, tmp_path):
 def test_relations_of_orders(spark, tmp_path):
     got, want = against_sql(spark, "n19_value_relation", grown(tmp_path, orders=orders_of_years()))
     assert got == want
+
+
+def test_thresholds_at_their_steps(spark, tmp_path):
+    """Scores that stand on a step of the grid."""
+    n = list(range(14))
+    documents = {"doc_id": n, "text": [""] * 14, "lang": ["en"] * 14, "source": ["s"] * 14, "n_chars": [1200 + 200 * i for i in n]}
+    got, want = against_sql(spark, "e30_thresholds", grown(tmp_path, labels={"doc_id": n, "quality": [i % 2 for i in n], "toxic": [0] * 14}, documents=documents))
+    assert got == want and len(got) == 14
