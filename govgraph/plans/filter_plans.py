@@ -52,8 +52,8 @@ GARBAGE_TYPES = ("STUDY_DESIGN", "UNRESOLVED")
 
 
 def garbage_reason(text, kind):
-    """Why an entity is dropped, the first reason that applies, or kept; a bare number stays only as a date."""
-    number = text.rlike(r"^\d+$") & ~F.coalesce(T.value_type(text) == "DATE", F.lit(False))
+    """Why an entity is dropped, the first reason that applies, or kept; a bare number stays only as a year of four digits."""
+    number = text.rlike(r"^\d+\z") & ~text.rlike(r"^(1[0-9]{3}|20[0-9]{2})\z")
     return (
         F.when(F.trim(text) == "", "empty_text").when(number, "numeric_unreferenced").when(F.lower(text).isin(*GARBAGE_PHRASES), "garbage_phrase")
         .when(F.length(text) < 2, "too_short").when(F.upper(kind).isin(*GARBAGE_TYPES), "garbage_type").otherwise("kept")

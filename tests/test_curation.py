@@ -178,3 +178,11 @@ def test_thresholds_at_their_steps(spark, tmp_path):
     documents = {"doc_id": n, "text": [""] * 14, "lang": ["en"] * 14, "source": ["s"] * 14, "n_chars": [1200 + 200 * i for i in n]}
     got, want = against_sql(spark, "e30_thresholds", grown(tmp_path, labels={"doc_id": n, "quality": [i % 2 for i in n], "toxic": [0] * 14}, documents=documents))
     assert got == want and len(got) == 14
+
+
+def test_long_numbers_are_garbage(spark, tmp_path):
+    keys = [1, 7, 1003, 2101, 10003, 15001, 100003, 150001, 199903, 2000203, 19991999]
+    keys = [k - (k - 1) % 6 for k in keys]
+    customers = {"c_custkey": keys, "c_name": ["n"] * len(keys), "c_nationkey": [1] * len(keys), "c_acctbal": [1.0] * len(keys), "c_mktsegment": ["s"] * len(keys)}
+    got, want = against_sql(spark, "p7_garbage_entities", grown(tmp_path, customer=customers))
+    assert got == want
