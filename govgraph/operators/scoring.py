@@ -45,6 +45,48 @@ def greedy_match(pairs: DataFrame, group: str, least: float) -> DataFrame:
     return pairs.groupBy(group).applyInPandas(run, pairs.schema)
 
 
+def greedy_match_classes(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """What ``greedy_match`` makes of all pairs of different keys, from pairs of classes; a group is one task.
+
+    members: group, key, cls; pairs: group, x, y, score of classes, in both directions and with themselves.  Both sides of a
+    match are keys of the members.  At a score each free key, in order, takes the smallest free one of the classes it fits.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in members.schema}
+
+    def run(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["key", "cls"])
+        golds = {c: k.tolist() for c, k in own.groupby("cls")["key"]}
+        classes = own.groupby("key", sort=False)["cls"].agg(list)
+        used_p, used_g, out = set(), set(), []
+
+        def smallest(c, at: dict, but):
+            """The first free key of a class that is not ``but``; what is used never comes again."""
+            keys, i = golds[c], at.get(c, 0)
+            while i < len(keys) and keys[i] in used_g:
+                i += 1
+            at[c] = i
+            while i < len(keys) and (keys[i] == but or keys[i] in used_g):
+                i += 1
+            return keys[i] if i < len(keys) else None
+
+        at: dict = {}
+        for score, level in sorted(near.groupby("score"), key=lambda g: -g[0]):
+            fits = level.groupby("x")["y"].agg(list).to_dict()
+            for p, mine in classes.items():
+                if p in used_p:
+                    continue
+                asked = {y for c in mine for y in fits.get(c, ())}
+                found = [g for y in asked if (g := smallest(y, at, p)) is not None]
+                if found:
+                    used_p.add(p)
+                    used_g.add(min(found))
+                    out.append((own[group].iloc[0], p, min(found), score))
+        return pd.DataFrame(out, columns=[group, "pred", "gold", "score"])
+
+    met = members.select(group, "key", "cls").distinct().groupBy(group).cogroup(pairs.select(F.col(group).alias("near_to"), "x", "y", "score").groupBy("near_to"))
+    return met.applyInPandas(run, f"{group} {kind[group]}, pred {kind['key']}, gold {kind['key']}, score double")
+
+
 def thresholds(scored: DataFrame, grid: list[float]) -> DataFrame:
     """threshold, tp, fp, fn of label (0/1) against score >= threshold: one pass over a histogram of the rows."""
     steps = F.array(*[F.lit(t) for t in grid])

@@ -55,11 +55,15 @@ def _(g):
 
 
 def partial_matches(part):
-    """Greedy pairs of one brand; only parts that share a token are compared, as all others have score 0."""
-    side = lambda key, names: part.select("p_brand", F.col("p_partkey").alias(key), F.split(F.lower("p_name"), " ").alias(names)).withColumn("token", F.explode(F.array_distinct(names)))
-    met = side("pred", "a").join(side("gold", "b"), ["p_brand", "token"]).filter("pred <> gold")
-    pairs = met.select("p_brand", "pred", "gold", T.jaccard(F.col("a"), F.col("b")).alias("score")).filter("score >= 0.5").distinct()
-    return S.greedy_match(pairs, "p_brand", 0.5)
+    """Greedy pairs of one brand.  Parts with the same set of tokens are one class, and only classes that share a token are
+    compared, as all others have score 0."""
+    cls = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    members = part.select("p_brand", F.col("p_partkey").alias("key"), cls.alias("tokens")).withColumn("cls", F.array_join("tokens", " ")).filter("tokens is not null")
+    classes = members.select("p_brand", "cls", "tokens").distinct()
+    side = lambda key, names: classes.select("p_brand", F.col("cls").alias(key), F.col("tokens").alias(names)).withColumn("token", F.explode(names))
+    met = side("x", "a").join(side("y", "b"), ["p_brand", "token"])
+    pairs = met.select("p_brand", "x", "y", T.jaccard(F.col("a"), F.col("b")).alias("score")).filter("score >= 0.5").distinct()
+    return S.greedy_match_classes(members, pairs, "p_brand")
 
 
 @plan("e5_degeneracy", """AND f AS (SELECT seq, relation, subject, object, CASE WHEN seq % 9 = 0 THEN subject ELSE object END AS o FROM kg_facts) SELECT relation, count(*) FILTER (subject = o) AS self_ref, count(*) FILTER (o IN ('v:0', 'v:1')) AS generic_node, round(count(*) FILTER (subject = o OR o IN ('v:0', 'v:1'))::DOUBLE / count(*), 6) AS rate FROM f GROUP BY relation""")
