@@ -214,4 +214,9 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of normalized names; for blocked candidates only."""
-    return F.pandas_udf(_ratio, "double")(normalize(a), normalize(b))
+    return normal_ratio(normalize(a), normalize(b))
+
+
+def normal_ratio(a: Column, b: Column) -> Column:
+    """The same of names that are normalized already."""
+    return F.pandas_udf(_ratio, "double")(a, b)

@@ -40,18 +40,68 @@ def _(g):
     return alike_names(g.table("supplier"))
 
 
+LEAST_RATIO, SHORT_PAIR = 0.9, 40
+
+
+def _unmatched(n: int, m: int) -> tuple[int, int] | None:
+    """How many characters of strings of n >= m may be unmatched at the least ratio (rounded to 6 digits), by string."""
+    most = int((1 - LEAST_RATIO + 1e-6) * (n + m))
+    most -= (most - n - m) % 2
+    gone = (most + m - n) // 2
+    return None if gone < 0 or most < 0 else (gone + n - m, gone)
+
+
+def _remains(names):
+    """g, key, norm: what may be left of a name in common with another of its group, of the lengths that are in the group.
+
+    Names with M matched characters have a common subsequence of M: both leave it when their other characters are deleted.
+    """
+    from itertools import combinations
+
+    import pandas as pd
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for g, norm, lengths in zip(rows["g"], rows["norm"], rows["lengths"], strict=True):
+                n = len(norm)
+                for m in map(int, lengths):
+                    gone = _unmatched(max(n, m), min(n, m)) if n + m < SHORT_PAIR else None
+                    if gone is None:
+                        continue
+                    kept = n - gone[0 if n >= m else 1]
+                    left = {"".join(c) for c in combinations(norm, kept)} if n - kept != 1 else {norm[:i] + norm[i + 1 :] for i in range(n)}
+                    out += [(g, f"{max(n, m)},{min(n, m)},{x}", norm) for x in left]
+            yield pd.DataFrame(out, columns=["g", "key", "norm"])
+
+    lengths = names.groupBy("g").agg(F.collect_set(F.length("norm")).alias("lengths"))
+    kind = names.schema["g"].dataType.simpleString()
+    return names.join(lengths, "g").select("g", "norm", "lengths").mapInPandas(run, f"g {kind}, key string, norm string")
+
+
 def alike_names(supplier):
-    """Pairs of one nation that share a padded trigram and are of like length: none that reaches 0.9 does otherwise.
+    """Pairs of one nation whose names reach 0.9, equal names compared once.
 
-    Of names with S code points together, at most S / 10 are unmatched, in as many gaps.  From S = 20 on some matched run has
-    three; below, there is one gap at most, and a run at an end keeps the trigram of that end.
+    Of names with under 40 code points together, those that leave one string when as many characters are deleted as the ratio
+    allows.  Of longer ones, those that share a padded trigram and are of like length: none that reaches 0.9 does otherwise, as
+    of names with S code points together, at most S / 10 are unmatched, in as many gaps, and some matched run has three.
     """
-    norm = T.normalize(F.col("s_name"))
-    s = supplier.select("s_suppkey", "s_nationkey", F.col("s_name").alias("name"), T.trigrams(norm).alias("grams"), F.length(norm).alias("n"))
-    o = s.select(F.col("s_suppkey").alias("other"), "s_nationkey", F.col("name").alias("name2"), F.col("grams").alias("grams2"), F.col("n").alias("n2"))
+    own = supplier.select("s_suppkey", F.col("s_nationkey").alias("g"), T.normalize(F.col("s_name")).alias("norm")).filter("norm is not null and g is not null")
+    names = own.select("g", "norm").distinct()
+    keys = _remains(names)
+    short = keys.withColumnRenamed("norm", "x").join(keys.withColumnRenamed("norm", "y"), ["g", "key"]).filter("x <> y").select("g", "x", "y").distinct()
+    s = names.withColumn("n", F.length("norm")).join(names.groupBy("g").agg(F.max(F.length("norm")).alias("longest")), "g").filter(F.col("n") + F.col("longest") >= SHORT_PAIR)
+    s = s.select("g", F.col("norm").alias("x"), "n", T.trigrams(F.col("norm")).alias("grams"))
+    o = s.select("g", F.col("x").alias("y"), F.col("n").alias("n2"), F.col("grams").alias("grams2"))
     like = (20 * F.least("n", "n2") >= 9 * (F.col("n") + F.col("n2"))) & F.arrays_overlap("grams", "grams2")
-    pairs = s.join(o, "s_nationkey").filter((F.col("s_suppkey") < F.col("other")) & like)
-    return pairs.withColumn("ratio", F.round(T.fuzzy_ratio(F.col("name"), F.col("name2")), 6)).filter("ratio >= 0.9").select("s_suppkey", "other", "ratio")
+    long = s.join(o, "g").filter((F.col("n") + F.col("n2") >= SHORT_PAIR) & (F.col("x") != F.col("y")) & like).select("g", "x", "y")
+    # Few bytes but much work a pair: dealt to all tasks, which the size of the pairs would not do.
+    tasks = int(supplier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rated = short.unionByName(long).repartition(tasks, "x", "y").withColumn("ratio", F.round(T.normal_ratio(F.col("x"), F.col("y")), 6)).filter(F.col("ratio") >= LEAST_RATIO)
+    rated = rated.unionByName(names.select("g", F.col("norm").alias("x"), F.col("norm").alias("y"), F.lit(1.0).alias("ratio")))
+    side = lambda key, c: own.select("g", F.col("norm").alias(c), F.col("s_suppkey").alias(key))
+    both = rated.join(side("s_suppkey", "x"), ["g", "x"]).join(side("other", "y"), ["g", "y"])
+    return both.filter("s_suppkey < other").select("s_suppkey", "other", "ratio")
 
 
 @plan("n5_trigram_cosine", """AND names AS (SELECT DISTINCT p_type AS name FROM part),

@@ -202,3 +202,27 @@ def test_partial_match_of_a_large_class(spark):
     parts = spark.range(40_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("red cup").alias("p_name"))
     found = partial_matches(parts)
     assert found.agg(F.count("*"), F.count_distinct("pred"), F.count_distinct("gold"), F.count_if(F.col("pred") == F.col("gold"))).first() == (40_000, 40_000, 40_000, 0)
+
+
+def test_alike_names_of_many_suppliers(spark):
+    """Against all pairs: copies, names of lengths around the bounds, and a count that all pairs would not reach in time."""
+    import random
+    from difflib import SequenceMatcher
+
+    from govgraph.plans.text_plans import alike_names
+
+    draw = random.Random(3)
+    names = []
+    for n in (3, 9, 10, 11, 17, 18, 19, 20, 21, 22):
+        base = "".join(draw.choice("abc0") for _ in range(n))
+        names += [base, base]
+        for _ in range(6):
+            cut, put = draw.randrange(n), draw.randrange(n)
+            names += [base[:cut] + base[cut + 1 :], base[:put] + draw.choice("abcd") + base[put:], base[:cut] + "z" + base[cut + 1 :], (base[:cut] + base[cut + 1 :])[:put] + "y" + (base[:cut] + base[cut + 1 :])[put:]]
+    rows = [(i, 1, x) for i, x in enumerate(names)] + [(900, 1, "#"), (901, 1, "?"), (902, 1, None), (903, None, names[0])]
+    norm = {i: "".join(c for c in x if c.isalnum()) for i, g, x in rows if x is not None and g is not None}
+    want = {(i, j): round(1.0 if norm[i] == norm[j] else SequenceMatcher(None, norm[i], norm[j]).ratio(), 6) for i in norm for j in norm if i < j}
+    got = {(r.s_suppkey, r.other): r.ratio for r in alike_names(spark.createDataFrame(rows, "s_suppkey long, s_nationkey long, s_name string")).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.9} and len(got) > 200
+    many = spark.range(6000).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey"), F.format_string("Supplier#%09d", F.col("id") * 7919 % 1000003).alias("s_name"))
+    assert alike_names(many).count() > 0
