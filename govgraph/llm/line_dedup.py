@@ -43,9 +43,13 @@ from .work import matched, packed, stash
 ALLOWED_FROM = (20, 50, 100)
 FEW = 16  # lines under a key that are compared with each other
 BLOCK = 128  # lines of a block, where blocks are compared
+BUCKET_BITS = 12  # of a key: its bucket
+FLUSH = 1 << 20  # keys that a task deals to the buckets at once
+HELD = 1 << 22  # index entries of a bucket, before those of keys with several lines leave it
 INDEX, PROBE = 1, 2
 EDITS_BIT = 2  # from this bit on, the role has the edits of its key
 _SECOND = np.uint64(0xA0761D6478BD642F)
+_ROW = np.dtype([("key", np.uint64), ("lid", np.int64), ("role", np.int8)])
 
 
 def allowed(n: np.ndarray, edits: int | None) -> np.ndarray:
@@ -57,8 +61,8 @@ def points(b: K.Block) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a block and the rows' offsets in them."""
     if not len(b.data):
         return np.zeros(0, np.uint32), np.zeros(len(b.offs), np.int64)
-    before = np.r_[0, np.cumsum((b.data & 0xC0) != 0x80)]
-    return np.frombuffer(b.data.tobytes().decode().encode("utf-32-le"), np.uint32), before[b.offs]
+    inner = np.flatnonzero((b.data & 0xC0) == 0x80)
+    return np.frombuffer(b.data.tobytes().decode().encode("utf-32-le"), np.uint32), b.offs - np.searchsorted(inner, b.offs)
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,13 +134,17 @@ def within(a: str, b: str, edits: int) -> bool:
     return any(s >> (edits + len(a) - len(b)) & 1 for s in state)
 
 
-def _identities(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits that stand for each line."""
-    second = K.Prefix(data, _SECOND).of(lo, hi)
+def _identities(data: np.ndarray, prefix: K.Prefix, lo: np.ndarray, hi: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """64 and, if ``both``, 32 more bits that stand for each line; ``prefix`` is that of the data."""
+    first = prefix.of(lo, hi)
+    second = K.Prefix(data, _SECOND).of(lo, hi) if both else None
     long = np.flatnonzero(hi - lo > K.SHORT)
     if len(long):
-        second[long] = K.digests(data, lo[long], hi[long], 16)[:, 1]
-    return K.word_hashes(data, lo, hi).view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        digests = K.digests(data, lo[long], hi[long], 16)
+        first[long] = digests[:, 0]
+        if both:
+            second[long] = digests[:, 1]
+    return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32) if both else None
 
 
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -148,18 +156,88 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
                 data, offs = points(b)
                 lo, hi, row, number = line_spans(data, offs)
                 long = hi - lo >= least_chars
-                lid, more = _identities(data, lo[long], hi[long])
+                lid, more = _identities(data, K.Prefix(data), lo[long], hi[long])
                 rows = pa.array(b.first + row[long])
                 yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(number[long].astype(np.int32)), pa.array(lid), pa.array(more)], names=["doc_id", "mark", "line", "lid", "more"])
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, line int, lid long, more int")
 
 
+def _parcels(rows: np.ndarray) -> pa.RecordBatch:
+    """bucket, probe, rows: the keys of each bucket in one row, index entries apart from mere probes."""
+    side = (rows["key"] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16) << 1 | ((rows["role"] & INDEX) == 0)
+    counts = np.bincount(side, minlength=2 << BUCKET_BITS)
+    used = np.flatnonzero(counts)
+    offs = (np.r_[0, np.cumsum(counts[used])] * _ROW.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offs), pa.py_buffer(rows[np.argsort(side, kind="stable")])])
+    return pa.record_batch([pa.array((used >> 1).astype(np.int32)), pa.array((used & 1).astype(bool)), data], names=["bucket", "probe", "rows"])
+
+
+class _Bucket:
+    """The rows of one bucket, index entries before probes: what comes back are those under a key of two lines.
+
+    All rows of such a key come back, some more than once.  Of index entries at most HELD and one of each key are kept.
+    """
+
+    def __init__(self) -> None:
+        self.held, self.n, self.table = [], 0, None
+
+    def index(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        self.held.append(rows)
+        self.n += len(rows)
+        if self.n > HELD:
+            yield from self._parted()
+
+    def _parted(self) -> Iterator[np.ndarray]:
+        """Gives back the held rows of keys with several lines; one row of each key stays, in order."""
+        rows = np.concatenate(self.held)
+        rows = rows[np.argsort(rows["key"])]
+        new = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
+        several = np.zeros(np.count_nonzero(new), bool)
+        key = np.cumsum(new) - 1
+        several[key[1:][~new[1:] & (rows["lid"][1:] != rows["lid"][:-1])]] = True
+        met = rows[several[key]]
+        met = met[np.lexsort((met["lid"], met["key"]))]
+        yield met[np.r_[True, (met["key"][1:] != met["key"][:-1]) | (met["lid"][1:] != met["lid"][:-1])][: len(met)]]
+        self.held, self.n = [rows[new]], 0
+
+    def probes(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        if not self.held:
+            return
+        if self.table is None:
+            yield from self._parted()
+            self.kept = self.held[0]
+            self.keys, self.lids, self.hit = self.kept["key"].copy(), self.kept["lid"].copy(), np.zeros(len(self.kept), bool)
+            self.mask = np.uint64((16 << len(self.keys).bit_length()) - 1)
+            self.table = np.zeros(int(self.mask) + 1, bool)
+            self.table[self.keys & self.mask] = True
+        rows = rows[self.table[rows["key"] & self.mask]]
+        at = np.minimum(np.searchsorted(self.keys, rows["key"]), len(self.keys) - 1)
+        met = (self.keys[at] == rows["key"]) & (self.lids[at] != rows["lid"])
+        self.hit[at[met]] = True
+        yield rows[met]
+
+    def done(self) -> Iterator[np.ndarray]:
+        if self.table is not None:
+            yield self.kept[self.hit]
+        elif self.held:
+            yield from self._parted()
+
+
 def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFrame:
-    """key, lid, role of every line that may differ from another; the role has the key's edits above its two bits."""
+    """key, lid, role of every line that may differ from another, under the keys of two lines; the role has the key's edits above its two bits.
+
+    Nearly all keys are those of one line, so they cross the shuffle as arrays, and only the others become rows.
+    """
     levels = range(1, len(ALLOWED_FROM) + 1) if edits is None else [edits]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+
+        def parcels() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(found)
+            yield from (_parcels(rows[lo : lo + FLUSH]) for lo in range(0, len(rows), FLUSH))
+
         for batch in batches:
             for b in K.blocks(batch.column("text"), 1 << 20):
                 data, offs = points(b)
@@ -167,12 +245,43 @@ def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFram
                 long = hi - lo >= least_chars
                 prefix = K.Prefix(data)
                 lo, hi = lo[long], hi[long]
-                lid, once = np.unique(K.word_hashes(data, lo, hi).view(np.int64), return_index=True)
+                lid, once = np.unique(_identities(data, prefix, lo, hi, False)[0], return_index=True)
                 lo, hi = lo[once], hi[once]
-                found = [(key, lid[which], role + np.int8(level << EDITS_BIT)) for level in levels for which, key, role, _, _ in keys(prefix, lo, hi, level, np.zeros(len(lo), np.uint64), edits, False)]
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "lid", "role"])
+                for level in levels:
+                    for which, key, role, _, _ in keys(prefix, lo, hi, level, np.zeros(len(lo), np.uint64), edits, False):
+                        rows = np.empty(len(which), _ROW)
+                        rows["key"], rows["lid"], rows["role"] = key.view(np.uint64), lid[which], role + np.int8(level << EDITS_BIT)
+                        found.append(rows)
+                        n += len(rows)
+                if n >= FLUSH:
+                    yield from parcels()
+                    found, n = [], 0
+        if n:
+            yield from parcels()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one = None, _Bucket()
+
+        def answer(found: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate([*found, np.zeros(0, _ROW)])
+            return pa.record_batch([pa.array(rows["key"].copy().view(np.int64)), pa.array(rows["lid"].copy()), pa.array(rows["role"].copy())], names=["key", "lid", "role"])
 
-    return docs.select("text").mapInArrow(run, "key long, lid long, role byte")
+        for batch in batches:
+            found = []
+            bucket, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "probe"))
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (probe[1:] != probe[:-1])) + 1
+            for b in K.blocks(batch.column("rows"), 1 << 40):
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                    if bucket[lo] != at:
+                        found += one.done()
+                        at, one = bucket[lo], _Bucket()
+                    rows = b.data[b.offs[lo] : b.offs[hi]].view(_ROW)
+                    found += one.probes(rows) if probe[lo] else one.index(rows)
+            yield answer(found)
+        yield answer(list(one.done()))
+
+    dealt = docs.select("text").mapInArrow(write, "bucket int, probe boolean, rows binary").repartition("bucket").sortWithinPartitions("bucket", "probe")
+    return dealt.mapInArrow(meet, "key long, lid long, role byte")
 
 
 def _texts(docs: DataFrame, seen: DataFrame, lids: DataFrame) -> DataFrame:

@@ -114,6 +114,41 @@ def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_keys_of_one_line_stay_behind(spark, monkeypatch):
+    """Only keys under which two lines meet become rows, however few entries of a bucket are held."""
+    rng = random.Random(8)
+    unlike = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(20, 200)]
+    docs = spark.createDataFrame([(x,) for x in [*unlike, *unlike, None, ""]], "text string")
+    assert line_dedup._line_keys(docs, None, 0).count() == 0
+    near = spark.createDataFrame([(unlike[0] + "\n" + unlike[0][1:] + "z",), (unlike[100],)], "text string")
+    assert line_dedup._line_keys(near, 2, 0).select("lid").distinct().count() == 2
+    rows = np.zeros(6000, line_dedup._ROW)
+    for name, most in (("key", 2000), ("lid", 900), ("role", 2)):
+        rows[name] = [rng.randrange(most) for _ in rows]
+    rows["role"] = np.where(rows["role"] == 1, line_dedup.INDEX | line_dedup.PROBE, line_dedup.PROBE)
+    rows["key"] = rows["key"] << np.uint64(50)
+    lines = collections.defaultdict(set)
+    for key, lid, role in rows.tolist():
+        lines[key].add(lid)
+    index = {key for key, _, role in rows.tolist() if role & line_dedup.INDEX}
+    # An index entry is a probe too, so what a line's own probe adds to its index entry is nothing.
+    entries = {(key, lid) for key, lid, role in rows.tolist() if role & line_dedup.INDEX}
+    want = {(k, i, r) for k, i, r in rows.tolist() if k in index and len(lines[k]) > 1 and (r & line_dedup.INDEX or (k, i) not in entries)}
+    for held in (10, 1 << 22):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        buckets, got = collections.defaultdict(list), set()
+        for lo in range(0, len(rows), 500):
+            part = line_dedup._parcels(rows[lo : lo + 500])
+            for bucket, probe, data in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                buckets[bucket].append((probe, np.frombuffer(data, line_dedup._ROW)))
+        for parts in buckets.values():
+            one = line_dedup._Bucket()
+            for probe, data in sorted(parts, key=lambda p: p[0]):
+                got |= {r for found in (one.probes(data) if probe else one.index(data)) for r in found.tolist()}
+            got |= {r for found in one.done() for r in found.tolist()}
+        assert want <= got <= {r for r in rows.tolist() if r[0] in index and len(lines[r[0]]) > 1}
+
+
 def sets_of(text, words):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
