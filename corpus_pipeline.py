@@ -13,18 +13,28 @@ from govgraph.llm import bpe, line_dedup, mixing, near_dup, quality
 from govgraph.llm.work import stash
 from govgraph.session import reachable
 
+#: Of the rows that Spark sends to a Python worker at once: Spark's own limits allow 64 MB, which the engine and the worker both hold.
+BATCH_BYTES = 4 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def prepared(spark: SparkSession) -> None:
+    """What a stage needs of its session: the package on the workers, and batches of whole texts that stay small."""
+    reachable(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    reachable(spark)
+    prepared(spark)
     return quality.quality_rules(docs, keep=COLUMNS, only_kept=True)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them documents that had nothing else; n_chars follows the text."""
-    reachable(spark)
+    prepared(spark)
     done = line_dedup.dedup_lines(docs.select(*COLUMNS))
     done = done.filter((F.col("__n_removed") == 0) | (F.regexp_count("text", F.lit(mixing.WORD)) > 0))
     return done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -32,19 +42,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest doc_id."""
-    reachable(spark)
+    prepared(spark)
     return near_dup.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    reachable(spark)
+    prepared(spark)
     return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    reachable(spark)
+    prepared(spark)
     encoded = bpe.encode_documents(docs, keep=("doc_id", "lang", "source", "text"))
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .work import mapped
+
 LEAF_CHARS, LEAF_TOKENS = 256, 64
 FIRST_WINDOW = 16
 #: Matches remembered by a process, short ones only, in each of two generations: about 120 MB in all.
@@ -191,7 +193,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
                 yield pa.record_batch([*rows, *out], names=[*keep, *names])
 
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    return sent.mapInArrow(run, f"{named}, {more}")
+    return mapped(sent, run, f"{named}, {more}")
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import stash
+from .work import mapped, stash
 
 #: Edges that one task may hold: about 100 MB.
 FEW_EDGES = 1 << 20
@@ -55,7 +55,7 @@ def _united(edges: DataFrame) -> DataFrame:
             some = nodes[lo : lo + 100_000]
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "root"])
 
-    return edges.select("a", "b").repartition(1).mapInArrow(run, "node long, root long")
+    return mapped(edges.select("a", "b").repartition(1), run, "node long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,14 +37,14 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .work import matched, packed, stash
+from .work import mapped, matched, packed, stash
 
 #: The code points from which a line may differ by one, two, three edits.
 ALLOWED_FROM = (20, 50, 100)
 FEW = 16  # lines under a key that are compared with each other
 BLOCK = 128  # lines of a block, where blocks are compared
 BUCKET_BITS = 12  # of a key: its bucket
-FLUSH = 1 << 20  # keys that a task deals to the buckets at once
+FLUSH = 1 << 19  # keys that a task deals to the buckets at once
 HELD = 1 << 22  # index entries of a bucket, before those of keys with several lines leave it
 INDEX, PROBE = 1, 2
 EDITS_BIT = 2  # from this bit on, the role has the edits of its key
@@ -160,7 +160,7 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
                 rows = pa.array(b.first + row[long])
                 yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(number[long].astype(np.int32)), pa.array(lid), pa.array(more)], names=["doc_id", "mark", "line", "lid", "more"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, line int, lid long, more int")
+    return mapped(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, line int, lid long, more int")
 
 
 def _parcels(rows: np.ndarray) -> pa.RecordBatch:
@@ -239,7 +239,7 @@ def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFram
             yield from (_parcels(rows[lo : lo + FLUSH]) for lo in range(0, len(rows), FLUSH))
 
         for batch in batches:
-            for b in K.blocks(batch.column("text"), 1 << 20):
+            for b in K.blocks(batch.column("text")):
                 data, offs = points(b)
                 lo, hi, _, _ = line_spans(data, offs)
                 long = hi - lo >= least_chars
@@ -280,8 +280,8 @@ def _line_keys(docs: DataFrame, edits: int | None, least_chars: int) -> DataFram
             yield answer(found)
         yield answer(list(one.done()))
 
-    dealt = docs.select("text").mapInArrow(write, "bucket int, probe boolean, rows binary").repartition("bucket").sortWithinPartitions("bucket", "probe")
-    return dealt.mapInArrow(meet, "key long, lid long, role byte")
+    dealt = mapped(docs.select("text"), write, "bucket int, probe boolean, rows binary").repartition("bucket").sortWithinPartitions("bucket", "probe")
+    return mapped(dealt, meet, "key long, lid long, role byte")
 
 
 def _texts(docs: DataFrame, seen: DataFrame, lids: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _texts(docs: DataFrame, seen: DataFrame, lids: DataFrame) -> DataFrame:
                 lid, line = (wanted.values.field(c) for c in ("lid", "line"))
                 yield pa.record_batch([lid, pa.array([lines[i] for i in line.to_pylist()], pa.string())], names=["lid", "content"])
 
-    return met.select("text", "lines").mapInArrow(run, "lid long, content string").dropDuplicates(["lid"])
+    return mapped(met.select("text", "lines"), run, "lid long, content string").dropDuplicates(["lid"])
 
 
 def _remainders(met: DataFrame, edits: int, first: bool) -> DataFrame:
@@ -335,7 +335,7 @@ def _remainders(met: DataFrame, edits: int, first: bool) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int8(), pa.string(), pa.bool_()), strict=True)], names=["key", "lid", "role", "content", "leaf"])
 
-    return met.select("key", "lid", "role", "content").mapInArrow(run, "key long, lid long, role byte, content string, leaf boolean")
+    return mapped(met.select("key", "lid", "role", "content"), run, "key long, lid long, role byte, content string, leaf boolean")
 
 
 def _crowd(rows: DataFrame, extra: list[str]) -> DataFrame:
@@ -418,7 +418,7 @@ def _block_links(crowded: DataFrame, edits: int | None) -> DataFrame:
         if sides[0]:
             yield done()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return mapped(dealt, run, "a long, b long")
 
 
 def line_links(docs: DataFrame, seen: DataFrame, edits: int | None = None, least_chars: int = 0) -> DataFrame:
@@ -457,7 +457,7 @@ def line_links(docs: DataFrame, seen: DataFrame, edits: int | None = None, least
 
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("content").alias("x")), "a")
     both = both.join(texts.select(F.col("lid").alias("b"), F.col("content").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = mapped(both.select("a", "b", "x", "y"), run, "a long, b long")
     return links.unionByName(blocked) if blocked else links
 
 
@@ -496,7 +496,7 @@ def dedup_lines(docs: DataFrame, edits: int | None = None, least_chars: int = 0)
 
     kind = marked.schema["rest"].dataType
     schema = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_near"))])
-    done = met.select("rest", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).mapInArrow(run, schema)
+    done = mapped(met.select("rest", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")), run, schema)
     plain = [F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return done.select(*plain, *(F.col(c).alias(f"__{c}") for c in ("n_lines", "n_removed", "n_near")))
 

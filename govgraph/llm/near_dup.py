@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .work import matched, packed, stash, unpacked
+from .work import mapped, matched, packed, stash, unpacked
 
 TOKENS = 96  # coordinates of a sketch
 TREES, DEPTH, BRANCHES = 4, 4, 2
@@ -91,7 +91,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     briefs.append(tokens.astype(np.uint8).tobytes())
                 yield pa.record_batch([*ids, pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, sketches, briefs))], names=["doc_id", "mark", "n_shingles", "digest", "sketch", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary, brief binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"), run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary, brief binary")
 
 
 def _sets(small: DataFrame, words: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _sets(small: DataFrame, words: int) -> DataFrame:
                     found = list(shingle_sets(b, words))
                     yield pa.record_batch([pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "members"])
 
-    return small.select("text").mapInArrow(run, "digest binary, members binary")
+    return mapped(small.select("text"), run, "digest binary, members binary")
 
 
 def _children(node: np.ndarray, sketches: np.ndarray, levels: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def _paths(at: DataFrame, levels: int) -> DataFrame:
                     cid = np.repeat(cid, out.shape[1])
                 yield pa.record_batch([pa.array(out.reshape(-1).view(np.int64)), pa.array(cid)], names=["node", "cid"])
 
-    return at.select(*(["node"] if rooted else []), "cid", "sketch").mapInArrow(run, "node long, cid long")
+    return mapped(at.select(*(["node"] if rooted else []), "cid", "sketch"), run, "node long, cid long")
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
                 sim = 100 * (x == y).mean(axis=1)
                 yield pa.record_batch([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"]).filter(pa.array(sim >= least))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long, sim double")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), run, "a long, b long")
 
 
 def _across(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _across(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 (asking if asks else answering).append((cid, own, m))
         yield done()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return mapped(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .work import mapped
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -167,7 +168,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     order = {c: i for i, c in enumerate(keep)}
     fields.sort(key=lambda f: order[f.name])
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return sent.mapInArrow(run, named if only_kept else f"{named}, {SCHEMA}")
+    return mapped(sent, run, named if only_kept else f"{named}, {SCHEMA}")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -37,6 +38,25 @@ def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare() -> None:
+    """Give memory that is free, but still held by Arrow's pool and the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow; workers outlive their tasks, so each task leaves them without the memory that it needed."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            spare()
+
+    return df.mapInArrow(lean, schema)
+
+
 def packed(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with their text as compressed UTF-8 (null stays null): what a shuffle of whole texts moves is less than half."""
     schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in df.schema.fields])
@@ -51,7 +71,7 @@ def packed(df: DataFrame, text: str = "text") -> DataFrame:
                 small = [None if not v.is_valid else pack(v.as_buffer()) for v in part.column(at)]
                 yield pa.record_batch([pa.array(small, pa.binary()) if i == at else c for i, c in enumerate(part.columns)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def unpacked(df: DataFrame, text: str = "text") -> DataFrame:
@@ -68,7 +88,7 @@ def unpacked(df: DataFrame, text: str = "text") -> DataFrame:
                 whole = pa.array([unpack(v.as_buffer()) if v.is_valid else None for v in part.column(at)], pa.binary()).cast(pa.string())
                 yield pa.record_batch([whole if i == at else c for i, c in enumerate(part.columns)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def matched(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from govgraph.llm import components, language, line_dedup, mixing, near_dup, top_k
+from govgraph.llm import components, language, line_dedup, mixing, near_dup, top_k, work
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -464,3 +464,52 @@ def test_pipeline(spark):
     assert max(collections.Counter(r.doc_id for r in mixed.collect()).values()) <= 2 and mixed.columns == docs.columns
     out = stages["byte-level BPE"](spark, mixed, "").collect()
     assert len(out) == mixed.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pipeline_batches_stay_small(spark):
+    """Whole texts reach the workers a few MB at a time; a lower limit of the session's own stands."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 48, 1, 1).selectExpr("id as doc_id", "repeat(cast(id as string), 500000) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    spark.conf.unset(limit)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, docs, "")
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 5 and max(found) < corpus_pipeline.BATCH_BYTES + (2 << 20)
+        spark.conf.set(limit, "1m")
+        corpus_pipeline.prepared(spark)
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_workers_give_memory_back(spark):
+    """What a task needed and freed is no longer held by its worker when the task is over."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous")) >> 10
+
+    def run(batches):
+        list(batches)
+        before, parts, pins = held(), [], []
+        for i in range(80_000):  # pieces that the C library keeps when they are freed, as some between them stay
+            parts.append(bytes(1500))
+            if i % 1000 == 999:
+                pins.append(bytes(1500))
+        parts.clear()
+        Pins.kept = pins
+        yield pa.record_batch([pa.array([before]), pa.array([held()])], names=["before", "after"])
+
+    class Pins:
+        kept = None
+
+    class Sent:
+        def mapInArrow(self, run, schema):
+            return run
+
+    task = work.mapped(Sent(), run, "")(iter(()))
+    one = next(task).to_pylist()[0]
+    assert one["after"] > one["before"] + 60 and not list(task)
+    assert held() < one["before"] + 30
