@@ -10,20 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govgraph.llm import bpe, line_dedup, mixing, near_dup, quality
-from govgraph.llm.work import stash
+from govgraph.llm.work import BATCH_BYTES as BATCH_BYTES
+from govgraph.llm.work import small_batches, stash
 from govgraph.session import reachable
 
-#: Of the rows that Spark sends to a Python worker at once: Spark's own limits allow 64 MB, which the engine and the worker both hold.
-BATCH_BYTES = 4 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def prepared(spark: SparkSession) -> None:
     """What a stage needs of its session: the package on the workers, and batches of whole texts that stay small."""
     reachable(spark)
-    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
-        spark.conf.set(limit, BATCH_BYTES)
+    small_batches(spark)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

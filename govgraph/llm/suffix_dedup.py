@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .work import stash
+from .work import mapped, small_batches, stash, steady
 
 LENGTH, GRAM = 200, 48
 SHALLOW = 32
@@ -85,6 +85,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """anchor, context, doc_id, at: mark (24 bits), first start (32), number of starts less one (8)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in batches:
             ids = batch.column("doc_id")
             marks = batch.column("mark").to_numpy(zero_copy_only=False)
@@ -93,7 +94,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 at = (marks[b.first + row] << 40) | (lo << 8) | (hi - lo)
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), ids.take(pa.array(b.first + row)), pa.array(at)], names=["anchor", "context", "doc_id", "at"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "anchor long, context long, doc_id long, at long")
+    return mapped(docs.select("doc_id", "mark", "text"), run, "anchor long, context long, doc_id long, at long")
 
 
 def blind_trie(items: list[int], text: list[bytes]) -> list[tuple[int, int]]:
@@ -244,7 +245,7 @@ def _contexts(packed: DataFrame, length: int, gram: int) -> DataFrame:
                     out.append((r["anchor"], r["contexts"], 0, length - gram, at - lo, data[lo : hi + length], doc_id, mark, lo))
                 yield _grouped(out)
 
-    return packed.mapInArrow(run, GROUPED)
+    return mapped(packed, run, GROUPED)
 
 
 _GROUPED = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32())])
@@ -274,7 +275,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
                     digests.append(hashlib.blake2b(own, digest_size=16).digest())
             yield pa.record_batch([*_grouped(out).columns, pa.array(digests, pa.binary())], names=[*_GROUPED.names, "own"])
 
-    return rows.mapInArrow(run, f"{GROUPED}, own binary")
+    return mapped(rows, run, f"{GROUPED}, own binary")
 
 
 def _parted(rows: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -335,7 +336,7 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
             yield done(held)
 
     dealt = contexts.select("group", "at", "bytes", "doc_id", "mark", "start").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "doc_id long, mark long, lo int, hi int")
+    return mapped(dealt, run, "doc_id long, mark long, lo int, hi int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -347,7 +348,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 values = [pack.compress((x or "").encode()) for x in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(values, pa.binary())], names=["doc_id", "mark", "packed"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, packed binary")
+    return mapped(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, packed binary")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -405,7 +406,7 @@ def _kept(joined: DataFrame, length: int, digests: bool) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     last = "kept_sha256 string" if digests else "kept binary"
-    return joined.select("doc_id", "packed", "ranges").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return mapped(joined.select("doc_id", "packed", "ranges"), run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digests: bool = False) -> DataFrame:
@@ -421,4 +422,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dige
 
 def op2_suffix_array(spark, sf_dir: str) -> DataFrame:
     """Every document with what repeated 200-byte strings take from it and the digest of what is left."""
+    small_batches(spark)
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)

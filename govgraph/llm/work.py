@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Of the rows that Spark sends to a Python worker at once: Spark's own limits allow 64 MB, which the engine and the worker both hold.
+BATCH_BYTES = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -38,6 +41,13 @@ def stash(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts stay small, in this session from now on; a lower limit of its own stands."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def spare() -> None:
     """Give memory that is free, but still held by Arrow's pool and the C library, back to the system."""
     pa.default_memory_pool().release_unused()
@@ -45,6 +55,14 @@ def spare() -> None:
         trim(0)
 
 
+def steady() -> None:
+    """Let the C library keep up to 32 MB that a task frees for its next arrays, instead of asking the system for each; spare() gives it back."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc only
+        for what in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            libc.mallopt(what, 32 << 20)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow; workers outlive their tasks, so each task leaves them without the memory that it needed."""
 

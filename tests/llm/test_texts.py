@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from govgraph.llm import bpe, chunk_dedup, kernels, quality, suffix_dedup, token_counts
+from govgraph.llm import bpe, chunk_dedup, kernels, quality, suffix_dedup, token_counts, work
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EMPTY = "doc_id long, text string"
@@ -162,6 +162,26 @@ def test_repeats(spark, at_once, monkeypatch):
         assert suffix_dedup.remove_repeats(spark.createDataFrame([], EMPTY), digests=True).count() == 0
 
 
+def test_repeats_hold_little(spark, monkeypatch):
+    """Texts reach the workers a few MB at a time, and each task of the query leaves its worker without what it needed."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    frame = type(spark.range(0))
+    sent, spared, plain = [], [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema: (sent.append(run), plain(self, run, schema))[1])
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 2)
+    spark.conf.unset(limit)
+    try:
+        assert suffix_dedup.op2_suffix_array(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+        assert int(spark.conf.get(limit)) == work.BATCH_BYTES
+    finally:
+        spark.conf.unset(limit)
+    monkeypatch.setattr(work, "spare", lambda: spared.append(1))
+    assert len(sent) >= 7  # occurrences, packed texts twice, contexts, halves, groups, what is kept
+    for run in sent:
+        before = len(spared)
+        assert not [b for b in run(iter(())) if len(b)] and len(spared) > before
+
+
 def test_deep_shallow():
     rng = random.Random(5)
     for _ in range(60):
