@@ -64,9 +64,10 @@ def steady() -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow; workers outlive their tasks, so each task leaves them without the memory that it needed."""
+    """mapInArrow; workers outlive their tasks, so each task leaves them without the memory that it needed, and begins without what others left."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         try:
             yield from run(batches)
         finally:

@@ -513,3 +513,22 @@ def test_workers_give_memory_back(spark):
     one = next(task).to_pylist()[0]
     assert one["after"] > one["before"] + 60 and not list(task)
     assert held() < one["before"] + 30
+
+
+def test_workers_begin_without_others_memory():
+    """What tasks of another kind freed, but left in the worker, is given back before a task begins."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous")) >> 10
+
+    class Sent:
+        def mapInArrow(self, run, schema):
+            return run
+
+    parts = [bytes(1500) for _ in range(120_000)]
+    pins = parts[::1000]
+    full = held()
+    parts.clear()
+    found = next(work.mapped(Sent(), lambda batches: iter([held()]), "")(iter(())))
+    assert len(pins) == 120 and found < full - 100
